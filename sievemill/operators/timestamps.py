@@ -101,8 +101,8 @@ def posting_instants(jobs: DataFrame) -> DataFrame:
     Repeated rows give one row. Null or blank values, remarks and impossible dates give none, nor does a
     relative label without a time of the visit or a row without id.
     """
-    read = jobs.where(F.col("id").isNotNull() & F.col("published").isNotNull()).select("id", F.unix_micros("checked").alias("checked_us"), read_wallclock(F.col("published"), F.col("publishedmeaning")).alias("t"))
-    stated = read.select("id", "checked_us", "t.*").where("epoch_us is not null or local_us is not null or days_back is not null")
+    valued = jobs.where(F.col("id").isNotNull() & F.col("published").isNotNull()).select("id", "published", "publishedmeaning", F.unix_micros("checked").alias("checked_us"))
+    stated = read_wallclock(valued, "published", "publishedmeaning")
     resolved = local_to_utc(stated, local_us="local_us", zone="zone")
     us = F.coalesce(
         F.col("epoch_us"),
