@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm.leak import leaked_passages
 from sievemill.llm.mix import mixed, mixture_report
+from sievemill.llm.quality import label_shares, not_prose, text_statistics
 from sievemill.session import table
 
 
@@ -21,5 +22,31 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_mixed, p9_shares)}
-SQL: dict[str, str] = {}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    return label_shares(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+QUERIES = {f.__name__: f for f in (p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+SQL: dict[str, str] = {
+    "p10_statistics": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '') AS l,
+         length(regexp_replace(coalesce(text, ''), '[\p{L}\p{N}\s]', '', 'g')) AS n_symbols FROM documents),
+c AS (SELECT list(DISTINCT lower(word)) AS words FROM common_words)
+SELECT doc_id, n_chars, len(w) AS n_words,
+       round(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) / nullif(len(w), 0), 6) AS mean_word_length,
+       round(n_symbols / nullif(n_chars, 0), 6) AS symbol_ratio, len(l) AS n_lines,
+       round(len(list_filter(l, lambda x: regexp_matches(rtrim(x, ' '), '[.!?]$'))) / nullif(len(l), 0), 6) AS ended_lines,
+       round(len(list_filter(w, lambda x: list_contains(words, x))) / nullif(len(w), 0), 6) AS common_share
+FROM d, c
+""",
+}
