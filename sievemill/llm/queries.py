@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from sievemill.llm.leak import leaked_passages
 from sievemill.llm.mix import mixed, mixture_report
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
+from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_records
+from sievemill.operators.units import pay_per_year
 from sievemill.session import table
 
 
@@ -34,8 +36,30 @@ def p10_statistics(spark: SparkSession, d: str) -> DataFrame:
     return text_statistics(table(spark, d, "documents"), table(spark, d, "common_words"))
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "jobs")
+    return best_of_groups(jobs, pay_per_year(jobs, table(spark, d, "pay_units")))
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return duplicate_groups(table(spark, d, "jobs"))
+
+
+def p5_golden(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "jobs")
+    return golden_records(jobs, duplicate_groups(jobs), ["title", "company", "location", "workplace", "salary"])
+
+
+QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p5_golden, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
 SQL: dict[str, str] = {
+    "p5_groups": r"""
+WITH RECURSIVE e AS (
+  SELECT DISTINCT id AS a, duplicateof AS b FROM jobs WHERE id IS NOT NULL AND duplicateof <> '' AND id <> duplicateof),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(a, b) AS (SELECT a, a FROM both_ways UNION SELECT r.a, t.b FROM reach r JOIN both_ways t ON t.a = r.b),
+member AS (SELECT r.a AS id, min(r.b) FILTER (WHERE r.b IN (SELECT id FROM jobs)) AS group_id FROM reach r WHERE r.a IN (SELECT id FROM jobs) GROUP BY 1)
+SELECT id, group_id FROM member WHERE group_id IN (SELECT group_id FROM member GROUP BY 1 HAVING count(*) > 1)
+""",
     "p10_statistics": r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n_chars, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w,
