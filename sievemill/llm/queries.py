@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sievemill.llm.leak import leaked_passages
 from sievemill.llm.mix import mixed, mixture_report
 from sievemill.llm.names import spelling_pairs
+from sievemill.llm.places import posting_places
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
 from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_records
 from sievemill.operators.units import pay_per_year
@@ -55,7 +56,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return spelling_pairs(table(spark, d, "boards"), table(spark, d, "jobs"))
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_groups, p5_golden, p6_found, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return posting_places(table(spark, d, "jobs"), table(spark, d, "places"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
 SQL: dict[str, str] = {
     "p5_groups": r"""
 WITH RECURSIVE e AS (
