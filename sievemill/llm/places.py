@@ -19,7 +19,6 @@ GRAM = 3
 # Short forms of words in place names, and other names of countries by code.
 SHORT = {"mt": "mount", "ft": "fort", "st": "saint", "lk": "lake", "n": "north", "s": "south", "e": "east", "w": "west", "pt": "port", "ste": "sainte"}
 COUNTRY_NAMES = {"US": "usa us u s america", "GB": "uk gb great britain", "DE": "de deutschland ger", "FR": "fr", "ES": "es", "IN": "in", "CA": "ca", "AU": "au"}
-# Codes that are words as well: in text of one case they count only at the end.
 _FOLD_FROM = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1)
 _FOLD_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _FOLD_FROM)
 
@@ -143,10 +142,10 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     ranked = hits.join(stated, "location", "left").withColumns({"regions": F.coalesce("regions", F.array().cast("array<string>")), "countries": F.coalesce("countries", F.array().cast("array<string>"))})
     in_region = F.array_contains("regions", F.concat_ws("/", "country_code", "region_code"))
     in_country = F.array_contains("countries", F.col("country_code"))
-    elsewhere = F.when(F.size("regions") > 0, ~in_region & ~(in_country & F.forall("regions", lambda r: F.lit(False)))).otherwise((F.size("countries") > 0) & ~in_country)
-    # A code may mean a region as well as a country: with the country stated by the same code it is no contradiction.
-    shared_code = F.size("regions") == 1
-    elsewhere = elsewhere & ~(shared_code & in_country & F.exists("regions", lambda r: F.lower(F.substring_index(r, "/", -1)) == F.lower(F.col("country_code"))))
+    other = F.when(F.size("regions") > 0, ~in_region).otherwise((F.size("countries") > 0) & ~in_country)
+    # A lone code may mean a region as well as a country: the place's own country by that code is no contradiction.
+    same_code = F.exists("regions", lambda r: F.lower(F.substring_index(r, "/", -1)) == F.lower(F.col("country_code")))
+    elsewhere = other & ~((F.size("regions") == 1) & in_country & same_code)
     scored = ranked.withColumns({"in_region": in_region, "in_country": in_country, "elsewhere": elsewhere}).where("not elsewhere")
     # One row a place and mention: the mention is the position of the word that tells the city apart.
     per_word = scored.groupBy("location", "place_id", "word").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("top").alias("top"), F.max_by("pos", "sim").alias("pos"), F.first("in_region").alias("in_region"), F.first("in_country").alias("in_country"))
@@ -176,4 +175,4 @@ def posting_places(jobs: DataFrame, places: DataFrame) -> DataFrame:
     """
     found = cut(named_places(jobs, places).select("location", F.when(F.size("place_ids") > 0, F.col("place_ids")).otherwise(F.array(F.lit(-1))).alias("place_ids")))
     rows = jobs.select("id", "location").where("id is not null and location is not null").distinct()
-    return salted_join(rows, found, "location", spread_by="id").select("id", F.explode("place_ids").cast("int").alias("place_id")).distinct()
+    return salted_join(rows, found, "location", spread_by="id").select("id", F.explode(F.col("place_ids").cast("array<int>")).alias("place_id")).distinct()

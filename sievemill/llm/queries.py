@@ -9,11 +9,20 @@ from sievemill.llm.mix import mixed, mixture_report
 from sievemill.llm.names import spelling_pairs
 from sievemill.llm.places import posting_places
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
+from sievemill.llm.reposts import openings, repost_pairs
 from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_records
 from sievemill.operators.units import pay_per_year
 from sievemill.session import table
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return repost_pairs(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
+
+
+def p7_openings(spark: SparkSession, d: str) -> DataFrame:
+    return openings(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -60,7 +69,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return posting_places(table(spark, d, "jobs"), table(spark, d, "places"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p7_found, p7_openings, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
 SQL: dict[str, str] = {
     "p5_groups": r"""
 WITH RECURSIVE e AS (
