@@ -26,6 +26,15 @@ LONG_TOKENS = ("workday", "oracle", "icims")
 URL = r"https?://[^\s\"'<>\])}]+"
 
 
+def host_of(url: Column) -> Column:
+    """The host in lower case, '' for none. A pattern, as Java's parser refuses hosts with underscores."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://(?:[^/?#@]*@)?([^/:?#]+)", 1))
+
+
+def path_of(url: Column) -> Column:
+    return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^https?://[^/?#]*([^?#]*)", 1)
+
+
 def board_key(kind: Column, token: Column) -> Column:
     return F.concat_ws(":", kind, F.lower(F.coalesce(token, F.lit(""))))
 
@@ -48,7 +57,7 @@ def board_url(kind: Column, token: Column) -> Column:
 
 def safe_url(c: Column) -> Column:
     """The address itself if it is https, else null."""
-    return F.when(F.lower(F.try_parse_url(c, F.lit("PROTOCOL"))) == "https", c)
+    return F.when(c.rlike(r"(?i)^https://[^/\s]+"), c)
 
 
 def valid_token(kind: Column, token: Column) -> Column:
@@ -58,7 +67,7 @@ def valid_token(kind: Column, token: Column) -> Column:
 
 def board_of_url(url: Column) -> Column:
     """struct<kind, token> of a posting's address; null where it is no known board or no valid token."""
-    host, path = F.lower(F.try_parse_url(url, F.lit("HOST"))), F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit(""))
+    host, path = host_of(url), path_of(url)
     parts = F.filter(F.split(path, "/"), lambda p: p != "")
     seg = lambda i: F.lower(F.coalesce(F.get(parts, F.lit(i)), F.lit("")))
     kind, token = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -81,13 +90,13 @@ def urls_in(text: Column) -> Column:
 
 def path_token(url: Column) -> Column:
     """The first segment of the path that is no locale."""
-    parts = F.filter(F.split(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "/"), lambda p: (p != "") & ~p.rlike(r"^[a-z]{2}(-[A-Za-z]{2})?$"))
+    parts = F.filter(F.split(path_of(url), "/"), lambda p: (p != "") & ~p.rlike(r"^[a-z]{2}(-[A-Za-z]{2})?$"))
     return F.lower(F.get(parts, F.lit(0)))
 
 
 def host_token(url: Column, suffix: str) -> Column:
     """The single label before the suffix of the host; null for none or several."""
-    host = F.lower(F.try_parse_url(url, F.lit("HOST")))
+    host = host_of(url)
     label = F.substring(host, F.lit(1), F.length(host) - len(suffix))
     return F.when(host.endswith(suffix) & label.rlike(r"^[a-z0-9-]+$"), label)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.session import cut
 
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], *, keep_blank: bool = False) -> DataFrame:
     """One row a key, the first in ``order``; null keys are one key. With ``keep_blank`` rows whose keys are
@@ -48,10 +49,10 @@ def circular_batch(rows: DataFrame, order: Sequence[Column], offset: int, size:
 def number_rows(rows: DataFrame, order: Sequence[Column], into: str) -> DataFrame:
     """The position (from 0) of each row in a total order, without sorting in one task.
 
-    The order must tell all rows apart, as ranges are computed again for the second use of the rows.
+    The ranged rows are written once, as ranges sampled twice could differ.
     """
     keys = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    ranged = rows.withColumn("__o", keys).repartitionByRange("__o").withColumn("__part", F.spark_partition_id())
+    ranged = cut(rows.withColumn("__o", keys).repartitionByRange("__o").withColumn("__part", F.spark_partition_id()))
     counts = ranged.groupBy("__part").agg(F.count(F.lit(1)).alias("__c"))
     before = counts.select("__part", (F.sum("__c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
     local = ranged.withColumn("__nth", F.row_number().over(Window.partitionBy("__part").orderBy("__o")))
