@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sievemill.session import cut
@@ -26,8 +26,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         hooked = labels.join(near, F.col("node") == F.col("v"), "left").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         roots = labels.select(F.col("node").alias("r"), F.col("component").alias("jump"))
         jumped = hooked.join(roots, F.col("component") == F.col("r"), "left").select("node", "old", F.least("component", "jump").alias("component"))
-        done = cut(jumped)
-        moved = done.where("component <> old").limit(1).count()
-        labels = done.select("node", "component")
-        if not moved:
+        moved = Observation()
+        labels = cut(jumped.observe(moved, F.count_if(F.col("component") < F.col("old")).alias("n"))).select("node", "component")
+        if not moved.get["n"]:
             return labels

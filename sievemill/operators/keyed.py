@@ -41,9 +41,9 @@ def circular_batch(rows: DataFrame, order: Sequence[Column], offset: int, size:
     row each, meet to become offsets.
     """
     numbered = number_rows(rows, order, "__pos")
-    total = rows.agg(F.count(F.lit(1)).alias("__n")).withColumn("__one", F.lit(1))
-    placed = numbered.withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one")
-    return placed.where(F.pmod(F.col("__pos") - offset, F.col("__n")) < size).withColumn("next_offset", F.pmod(F.lit(offset + size), F.col("__n"))).drop("__pos", "__n", "__one")
+    n = rows.count()
+    placed = numbered.where(F.pmod(F.col("__pos") - offset, F.lit(n)) < size)
+    return placed.withColumn("next_offset", F.lit((offset + size) % max(n, 1)).cast("bigint")).drop("__pos")
 
 
 def number_rows(rows: DataFrame, order: Sequence[Column], into: str) -> DataFrame:

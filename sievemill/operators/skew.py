@@ -18,11 +18,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "inner",
     all others stay single. ``spread_by`` names the column of ``big`` whose hash gives the salt.
     ``how`` is inner or left. Null keys match nothing.
     """
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = big.agg(F.count(F.lit(1)).alias("__all")).withColumn("__one", F.lit(1))
-    hot = (
-        counts.where(F.col(key).isNotNull()).withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").where(F.col("__n") * one_in > F.col("__all")).select(key, F.lit(True).alias("__hot"))
-    )
+    total = big.count()
+    hot = big.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * one_in > total).select(key, F.lit(True).alias("__hot"))
     left = big.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")).otherwise(0)).drop("__hot")
     right = (
         small.join(F.broadcast(hot), key, "left")

@@ -1,0 +1,177 @@
+"""Queries of the sources: envelopes, normalisers of every platform, files and archives."""
+
+from __future__ import annotations
+
+import json
+import os
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.functions.text import collapse
+from sievemill.plans.registry import QUERIES, SQL, query
+from sievemill.session import table
+from sievemill.sources import feeds, files, replay
+
+_PLAIN = r"trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))"
+_NUMBER = {kind: f"n{i:02d}_{kind}" for i, kind in enumerate(feeds.FEEDS, 1)}
+
+
+def _payloads(jobs: DataFrame, kind: str) -> DataFrame:
+    """The postings as the platform would deliver them, one payload a row, in an envelope."""
+    feed = feeds.FEEDS[kind]
+    when = {"iso": F.date_format("firstseen", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "relative": F.lit("3 days ago"), "day_first": F.date_format("firstseen", "d/M/yyyy"), "rfc": F.date_format("firstseen", "EEE, dd MMM yyyy HH:mm:ss '+0000'")}[feed.dated]
+    rows = jobs.where("id is not null and title is not null").select("id", "title", "location", "firstseen", "checked", "company").distinct()
+    item = feeds.as_delivered(kind, F.md5("id"), F.col("title"), F.coalesce("location", F.lit("")), F.concat(F.lit("https://x.example/"), F.md5("id")), when)
+    return rows.select(F.lit("acme/site").alias("token"), "company", "checked", F.concat(F.lit('{"total":1,"jobs":['), item, F.lit("]}")).alias("payload"))
+
+
+def _add_feed(kind: str) -> None:
+    feed = feeds.FEEDS[kind]
+    native = "concat('https://x.example/', md5(id))" if feed.native[0] == (feed.url or ("",))[0] else "title" if feed.native[0] == "title" else "md5(id)"
+    published = {"iso": "date_trunc('second', firstseen)", "rfc": "date_trunc('second', firstseen)", "relative": "checked - INTERVAL 3 DAY", "day_first": "date_trunc('day', firstseen)"}[feed.dated] if feed.published else "NULL"
+    if kind == "workday":
+        native = "md5(id)"
+    place = "CASE WHEN trim(coalesce(location, ''), ' ') = '' THEN 'Not listed' ELSE location END" if feed.location else "'Not listed'"
+    if feed.location and feed.location[0][0].endswith("[*]"):
+        place = "CASE WHEN trim(coalesce(location, ''), ' ') = '' THEN 'Not listed' ELSE trim(location, ' ') END"
+    if feed.location and feed.location[0][0].startswith("["):
+        place = "CASE WHEN trim(coalesce(location, ''), ' ') = '' THEN 'Not listed' ELSE trim(location, ' ') END"
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        payloads = _payloads(table(spark, d, "jobs"), kind)
+        items = payloads.select("company", "token", "checked", F.explode(feeds.unwrap(F.col("payload"))).alias("item"))
+        return feeds.normalise(items, kind).select("id", "title", "location", "published").distinct()
+
+    QUERIES[_NUMBER[kind]] = run
+    SQL[_NUMBER[kind]] = f"""
+SELECT DISTINCT concat('{kind}:acme/site:', {native}) AS id, {_PLAIN} AS title, {place} AS location, CAST({published} AS TIMESTAMP) AS published
+FROM jobs WHERE id IS NOT NULL AND {_PLAIN} <> ''"""
+
+
+for _kind in feeds.FEEDS:
+    _add_feed(_kind)
+
+
+@query("jobs", sql="SELECT DISTINCT id, 1 + (length(id) % 9) AS n FROM jobs")
+def s37_envelopes(jobs: DataFrame) -> DataFrame:
+    """A list under each of the keys a platform may use, bare, or nested in the first item."""
+    listed = F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), 1 + F.length("id") % 9), lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit("}"))), ","), F.lit("]"))
+    kind = F.length("id") % (len(feeds.ENVELOPES) + 2)
+    payload = F.when(kind == 0, listed).when(kind == 1, F.concat(F.lit('{"items":[{"requisitionList":'), listed, F.lit("}]}")))
+    for i, key in enumerate(feeds.ENVELOPES):
+        payload = payload.when(kind == i + 2, F.concat(F.lit(f'{{"other":1,"{key}":'), listed, F.lit("}")))
+    return jobs.select("id").distinct().select("id", F.size(feeds.unwrap(payload)).alias("n"))
+
+
+@query("jobs", sql="SELECT source, count(*) AS n FROM (SELECT DISTINCT id, source FROM jobs WHERE title IS NOT NULL AND source IN ('greenhouse', 'lever', 'ashby')) GROUP BY source")
+def n27_normalise_all(jobs: DataFrame) -> DataFrame:
+    """Payloads of several platforms in one table, each by its own projection."""
+    rows = jobs.where("title is not null and trim(title) <> ''")
+    parts = [_payloads(rows.where(F.col("source") == k), k).withColumn("kind", F.lit(k)) for k in ("greenhouse", "lever", "ashby")]
+    return feeds.normalise_all(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("boards", sql="SELECT DISTINCT company, type, token FROM boards WHERE company IS NOT NULL")
+def n28_json_without_nulls(boards: DataFrame) -> DataFrame:
+    """Rows to JSON without null fields and back."""
+    text = F.to_json(F.struct("company", "type", "token", F.lit(None).cast("string").alias("none")))
+    back = F.from_json(text, "company string, type string, token string")
+    return boards.where("company is not null").select(text.alias("j"), back.alias("b")).where("j not like '%none%'").select("b.*").distinct()
+
+
+def _folder(spark: SparkSession) -> str:
+    """A folder for the small recorded files of these queries, beside the checkpoints where the cluster
+    names a shared folder."""
+    from sievemill.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    return tempfile.mkdtemp(prefix="recorded-", dir=root if os.path.isdir(root) else None)
+
+
+def _recorded(text: str, name: str, spark: SparkSession) -> str:
+    path = os.path.join(_folder(spark), name)
+    with open(path, "w", encoding="utf-8", newline="") as f:
+        f.write(text)
+    return path
+
+
+_CSV = 'Company_Name ,ATS_Vendor,Board_URL,Board_Slug\r\n"Acme, ""Big"" Foods",Other,https://boards.greenhouse.io/acme,\r\n,,,\r\nBeta,Lever,https://jobs.lever.co/beta-co?x=1,\r\n"Two\nLines",Ashby,,gamma\r\nShort,Workday\r\n'
+
+
+def s32_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes, line breaks inside fields, blank and short rows."""
+    return files.read_csv(spark, _recorded(_CSV, "directory.csv", spark), ["company_name", "ats_vendor", "board_url", "board_slug"])
+
+
+def s33_directory(spark: SparkSession, d: str) -> DataFrame:
+    return files.directory(spark, _recorded(_CSV, "directory.csv", spark), least=3)
+
+
+def s34_json_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Lists of several files, one of them missing."""
+    here = _recorded(json.dumps([{"company": "A", "type": "lever", "token": "a"}, {"company": "B", "type": "ashby", "token": "b"}]), "boards.json", spark)
+    return files.union_lists(spark, [here, here + ".missing"], "company string, type string, token string")
+
+
+def s35_read_or_empty(spark: SparkSession, d: str) -> DataFrame:
+    return files.read_or_empty(spark, "/nowhere/state.json", "nextOffset bigint, rotationIdx bigint")
+
+
+def s36_sharded_map(spark: SparkSession, d: str) -> DataFrame:
+    one, two = _recorded('{"a":"1","b":"2"}', "map.json", spark), _recorded('{"b":"3"}', "map-1.json", spark)
+    return files.sharded_map(spark, [one, two, two + ".missing"])
+
+
+def s31_index_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of an archive's index, a broken one among them, to boards."""
+    from sievemill.functions.urls import board_of_url
+
+    path = _recorded('{"url":"https://jobs.lever.co/acme/1","status":"200"}\n{broken\n{"url":"https://beta.recruitee.com/o/2","status":"200"}\n', "index.jsonl", spark)
+    rows = files.json_lines(spark, path, "url string, status string")
+    return rows.select(board_of_url(F.col("url")).alias("b")).select("b.*")
+
+
+def s25_rss(spark: SparkSession, d: str) -> DataFrame:
+    page = "<rss><channel><item><title><![CDATA[A & B]]></title><link>https://x.example/1</link><guid>1</guid><pubDate>Wed, 13 Aug 2025 08:48:15 +0530</pubDate><description>&lt;p&gt;Location: Oslo&lt;/p&gt;</description></item></channel></rss>"
+    return files.rss_items(spark, _recorded(page, "feed.xml", spark))
+
+
+def s27_thread(spark: SparkSession, d: str) -> DataFrame:
+    """The children of a thread with the first line of each."""
+    text = json.dumps({"id": 1, "children": [{"id": 2, "author": "ann", "text": "Acme | Engineer | Remote<p>We ..."}, {"id": 3, "author": "bob", "text": None}]})
+    page = spark.createDataFrame([(text,)], "payload string")
+    rows = page.select(F.explode(files.comment_tree(F.col("payload"))).alias("c")).select("c.*")
+    return rows.withColumn("first_line", collapse(F.regexp_extract("text", r"(?s)^(.*?)(?:<p>|\n|$)", 1)))
+
+
+def s01_replay(spark: SparkSession, d: str) -> DataFrame:
+    """Every platform's recorded payloads through the data source and the normalisers (S01-S30).
+
+    Two boards a platform are recorded, one of them broken: it becomes a status row and the other is read.
+    """
+    root = _folder(spark)
+    for kind in feeds.FEEDS:
+        os.makedirs(os.path.join(root, kind))
+        with open(os.path.join(root, kind, "bad.json"), "w") as f:
+            f.write("{")
+    sample = table(spark, d, "jobs").where("title is not null and trim(title) <> ''").orderBy("id").limit(1)
+    made = None
+    for kind in feeds.FEEDS:
+        part = _payloads(sample, kind).withColumn("kind", F.lit(kind))
+        made = part if made is None else made.unionByName(part)
+    for r in made.collect():  # the recorded fixture of one posting a platform, not the data
+        with open(os.path.join(root, r["kind"], "acme%2Fsite.json"), "w") as f:
+            json.dump({"company": r["company"], "payload": json.loads(r["payload"])}, f)
+    replay.register(spark)
+    read = spark.read.format("boards_replay").option("path", root).load()
+    at = F.lit("2025-11-09 00:00:00").cast("timestamp")
+    good = feeds.normalise_all(read.where("ok").withColumn("checked", at)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    status = read.groupBy("kind").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
+    return status.join(good, F.col("kind") == F.col("source"), "left").select("kind", "ok", "failed", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+for _f in (s01_replay, s25_rss, s27_thread, s31_index_lines, s32_csv, s33_directory, s34_json_lists, s35_read_or_empty, s36_sharded_map):
+    QUERIES[_f.__name__] = _f
