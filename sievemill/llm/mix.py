@@ -8,7 +8,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,15 +59,12 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """
     per = sizes.groupBy("mix_source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
     wanted = targets.select(source_name(F.col("source")).alias("mix_source"), "target_share", "max_repeats").dropDuplicates(["mix_source"])
-    grand = per.agg(F.sum("source_tokens").alias("corpus_tokens")).select("corpus_tokens", F.lit(1).alias("__one"))
-    asked = F.col("target_share") * F.col("corpus_tokens") / F.nullif(F.col("source_tokens"), F.lit(0))
+    corpus = per.agg(F.sum("source_tokens")).first()[0] or 0
+    asked = F.col("target_share") * F.lit(float(corpus)) / F.nullif(F.col("source_tokens"), F.lit(0))
     return (
         wanted.join(per, "mix_source", "left")
-        .withColumn("__one", F.lit(1))
-        .join(grand, "__one")  # one row
-        .drop("__one")
-        .withColumn("asked_rate", asked)
-        .withColumn("rate", F.least(asked, F.col("max_repeats").cast("double")))
+        .withColumns({"corpus_tokens": F.lit(corpus).cast("bigint"), "asked_rate": asked})
+        .withColumn("rate", F.least("asked_rate", F.col("max_repeats").cast("double")))
         .withColumn("capped", F.col("asked_rate") > F.col("max_repeats"))
     )
 
@@ -102,13 +99,9 @@ def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataF
     rates = mixing_rates(sizes, targets)
     got = mixed(documents, targets, **options).groupBy("mix_source").agg(F.sum("tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copy_no").alias("most_copies"))
     joined = rates.join(got, "mix_source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_copies", "source_tokens", "source_docs"])
-    total = joined.agg(F.sum("mixed_tokens").alias("mixed_total")).withColumn("__one", F.lit(1))
-    return (
-        joined.withColumn("__one", F.lit(1))
-        .join(total, "__one")  # one row
-        .select(
-            F.col("mix_source").alias("source"), "target_share", "max_repeats", "source_docs", "source_tokens", "corpus_tokens", "rate", "capped", "mixed_docs", "mixed_tokens", "most_copies",
-            (F.col("mixed_tokens") / F.nullif(F.col("mixed_total"), F.lit(0))).alias("share_of_mix"),
-            (F.col("mixed_tokens") / F.nullif(F.col("corpus_tokens"), F.lit(0))).alias("share_of_corpus"),
-        )
+    # One row a target source: the window's single partition is as long as the list of targets.
+    of_mix = F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(0))
+    return joined.select(
+        F.col("mix_source").alias("source"), "target_share", "max_repeats", "source_docs", "source_tokens", "corpus_tokens", "rate", "capped", "mixed_docs", "mixed_tokens", "most_copies",
+        of_mix.alias("share_of_mix"), (F.col("mixed_tokens") / F.nullif(F.col("corpus_tokens"), F.lit(0))).alias("share_of_corpus"),
     )

@@ -109,9 +109,9 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     listed = places.where("place_id is not null and city is not null").dropDuplicates(["place_id"])
     city_words = F.transform(F.regexp_extract_all(F.lower(fold(F.col("city"))), F.lit("[a-z0-9]+"), 0), lambda w: F.coalesce(F.try_element_at(short, w), w))
     entry = listed.withColumn("word", F.explode(F.array_distinct(city_words)))
-    total = listed.agg(F.count(F.lit(1)).alias("n_places")).withColumn("__one", F.lit(1))
+    total = listed.count()
     # The frequency of a word over cities, not rows, so a name of two regions stays distinctive.
-    frequency = entry.groupBy("word").agg(F.count_distinct(F.lower("city")).alias("df")).withColumn("__one", F.lit(1)).join(F.broadcast(total), "__one").select("word", "df", F.log(1 + F.col("n_places") / F.col("df")).alias("idf"))
+    frequency = entry.groupBy("word").agg(F.count_distinct(F.lower("city")).alias("df")).select("word", "df", F.log(1 + F.lit(total) / F.col("df")).alias("idf"))
     words = cut(entry.join(frequency, "word").select("place_id", "word", "df", "idf", "region_code", "country_code", F.lower("city").alias("city")))
     rarest = words.groupBy("place_id").agg(F.max("idf").alias("top"))
     vocabulary = words.select("word").distinct()
