@@ -1,0 +1,151 @@
+"""Queries of the sweep's pipeline: selection, merge, sinks and streams."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sievemill.operators import selection, snapshot_merge
+from sievemill.plans.registry import QUERIES, query
+from sievemill.plans.relational import _HASH, _KEY, _SWEEP, _latest
+from sievemill.plans.sourcing import _folder
+from sievemill.session import table
+from sievemill.sources import sinks
+from sievemill.streaming import sweeps
+
+_NOW = "2025-11-07 08:00:00"
+
+
+def _now() -> Column:
+    return F.lit(_NOW).cast("timestamp")
+
+
+def _ok(board_statuses: DataFrame) -> DataFrame:
+    last = board_statuses.agg(F.max("sweep_no").alias("sweep_no"))
+    return board_statuses.where("ok").join(F.broadcast(last), "sweep_no").select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey")).distinct()
+
+
+_OK = f"(SELECT DISTINCT {_KEY} AS boardkey FROM board_statuses WHERE ok AND sweep_no = (SELECT max(sweep_no) FROM board_statuses))"
+_OLD = f"(SELECT * FROM {_SWEEP.format(1)} p WHERE checked > TIMESTAMP '{_NOW}' - INTERVAL 36 HOUR AND p.boardkey NOT IN (SELECT boardkey FROM {_OK}))"
+
+
+@query("boards", "jobs", sql=f"""
+SELECT boardkey, token, CASE WHEN from_extra THEN 'extra' WHEN boardkey IN (SELECT boardkey FROM jobs GROUP BY 1 HAVING max(firstseen) >= TIMESTAMP '2025-11-08 00:00:00') THEN 'hot' ELSE 'slice' END AS tier FROM boards
+WHERE from_extra OR boardkey IN (SELECT boardkey FROM jobs GROUP BY 1 HAVING max(firstseen) >= TIMESTAMP '2025-11-08 00:00:00') OR {_HASH} % 16 = 5""")
+def t03_tiered_selection(boards: DataFrame, jobs: DataFrame) -> DataFrame:
+    hot = selection.hot_boards(jobs, F.lit("2025-11-09 00:00:00").cast("timestamp"), 1)
+    return selection.tiers(boards, hot, 16, 5).where("tier is not null").select("boardkey", "token", "tier")
+
+
+@query("sweep_jobs", "board_statuses", sql=f"SELECT id, true AS stale FROM {_OLD}")
+def t04_survivors(sweep_jobs: DataFrame, board_statuses: DataFrame) -> DataFrame:
+    return snapshot_merge.survivors(_latest(sweep_jobs, 1), _ok(board_statuses), _now()).select("id", "stale")
+
+
+def _cut(sweep_jobs: DataFrame, back: int) -> DataFrame:
+    rows = _latest(sweep_jobs, back).select("id", "boardkey", "title", "checked", "firstseen")
+    return rows.withColumn("firstseen", F.col("firstseen").try_cast("timestamp"))
+
+
+@query("sweep_jobs", "board_statuses", sql=f"""
+WITH c AS (SELECT id, title, checked FROM {_SWEEP.format(0)}), m AS (SELECT id, title, checked, false AS stale FROM c UNION ALL SELECT id, title, checked, true FROM {_OLD} WHERE id NOT IN (SELECT id FROM c))
+SELECT stale, count(*) AS n, max(checked) AS checked FROM m GROUP BY stale""")
+def t01_merge(sweep_jobs: DataFrame, board_statuses: DataFrame) -> DataFrame:
+    """A sweep's rows and the survivors of the one before, a fresh row before a stale one (J03, T04, D07)."""
+    both = snapshot_merge.merged(_cut(sweep_jobs, 0), _cut(sweep_jobs, 1), _ok(board_statuses), _now())
+    return both.groupBy("stale").agg(F.count(F.lit(1)).alias("n"), F.max("checked").alias("checked"))
+
+
+@query("sweep_jobs", sql=f"""
+SELECT c.id, coalesce(CAST(CAST(p.firstseen AS TIMESTAMPTZ) AS TIMESTAMP), CAST(CAST(c.firstseen AS TIMESTAMPTZ) AS TIMESTAMP), c.checked) AS firstseen
+FROM {_SWEEP.format(0)} c LEFT JOIN {_SWEEP.format(1)} p USING (id)""")
+def t05_first_seen(sweep_jobs: DataFrame) -> DataFrame:
+    return snapshot_merge.carried(_cut(sweep_jobs, 0), _cut(sweep_jobs, 1), "firstseen", previous_first=True, fallback=F.col("checked")).select("id", "firstseen")
+
+
+@query("sweep_jobs", sql=f"SELECT c.id, coalesce(CAST(CAST(c.firstseen AS TIMESTAMPTZ) AS TIMESTAMP), CAST(CAST(p.firstseen AS TIMESTAMPTZ) AS TIMESTAMP)) AS firstseen FROM {_SWEEP.format(0)} c LEFT JOIN {_SWEEP.format(1)} p USING (id)")
+def t06_current_first(sweep_jobs: DataFrame) -> DataFrame:
+    return snapshot_merge.carried(_cut(sweep_jobs, 0), _cut(sweep_jobs, 1), "firstseen").select("id", "firstseen")
+
+
+@query("sweep_jobs", "jobs", sql=f"""
+SELECT c.id, CASE WHEN c.firstseen IS NOT NULL THEN least(CAST(CAST(c.firstseen AS TIMESTAMPTZ) AS TIMESTAMP), r.at) END AS firstseen
+FROM {_SWEEP.format(0)} c LEFT JOIN (SELECT id, min(firstseen) AS at FROM jobs GROUP BY 1) r USING (id)""")
+def t07_repaired(sweep_jobs: DataFrame, jobs: DataFrame) -> DataFrame:
+    return snapshot_merge.repaired(_cut(sweep_jobs, 0), jobs.select("id", F.col("firstseen").alias("at")), "firstseen", "at").select("id", "firstseen")
+
+
+@query("sweep_jobs", sql=f"""
+SELECT id, CASE WHEN NOT (starts_with(boardkey, 'workday:') AND CAST(CAST(firstseen AS TIMESTAMPTZ) AS TIMESTAMP) < TIMESTAMP '{_NOW}' - INTERVAL 30 DAY) OR firstseen IS NULL OR boardkey IS NULL THEN CAST(CAST(firstseen AS TIMESTAMPTZ) AS TIMESTAMP) END AS firstseen FROM {_SWEEP.format(0)}""")
+def t08_clamped(sweep_jobs: DataFrame) -> DataFrame:
+    return snapshot_merge.clamped(_cut(sweep_jobs, 0), "firstseen", _now(), 30, F.col("boardkey").startswith("workday:")).select("id", "firstseen")
+
+
+@query("events", sql="SELECT hour(ts) % 4 AS slot, count(*) AS n FROM events GROUP BY 1")
+def t11_rotation_slot(events: DataFrame) -> DataFrame:
+    return events.groupBy(sweeps.rotation_slot(F.col("ts"), 4).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("board_statuses", "boards", sql=f"""
+WITH s AS (SELECT DISTINCT type, token FROM board_statuses)
+SELECT type, token FROM s WHERE NOT EXISTS (SELECT 1 FROM boards b WHERE b.type = s.type AND b.token = s.token AND b.from_extra)""")
+def k06_merge_discovered(board_statuses: DataFrame, boards: DataFrame) -> DataFrame:
+    lists = board_statuses.select("company", "type", "token")
+    half = lists.where("type < 'm'").dropDuplicates(["type", "token"])
+    return sinks.merge_discovered(half, lists.where("type >= 'h'"), boards.where("from_extra")).select("type", "token")
+
+
+def k02_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    """The snapshot written as Parquet, JSON and coverage, and read back from JSON."""
+    jobs = table(spark, d, "jobs")
+    out = _folder(spark)
+    sinks.write_snapshot(jobs.drop("descriptiontext"), jobs.agg(F.count(F.lit(1)).alias("jobs")), out)
+    again = spark.read.schema(jobs.drop("descriptiontext").schema).json(f"{out}/jobs_json")
+    return again.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+def k07_rescored(spark: SparkSession, d: str) -> DataFrame:
+    """A version with an added column written beside the old one and read again."""
+    out = os.path.join(_folder(spark), "version=2")
+    table(spark, d, "jobs").withColumn("band", F.when(F.col("fitscore") >= 70, "high").otherwise("rest")).write.parquet(out)
+    return spark.read.parquet(out).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+def t02_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
+    """Micro-batches of the snapshots' files, each written under its number (T01, T09, T10)."""
+    out = _folder(spark)
+    table(spark, d, "sweep_jobs")  # pins the session to UTC
+    sweeps.write_batches(sweeps.stream_of(spark, f"{d}/sweep_jobs.parquet"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").groupBy("sweep_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"))
+
+
+def t09_stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """State by id with a time to live: the first check is frozen, ids not checked for 36 hours leave."""
+    out = _folder(spark)
+    table(spark, d, "sweep_jobs")
+    sweeps.write_batches(sweeps.first_seen(sweeps.stream_of(spark, f"{d}/sweep_jobs.parquet"), hours=snapshot_merge.KEEP_HOURS), f"{out}/rows", f"{out}/state")
+    rows = spark.read.parquet(f"{out}/rows")
+    return rows.groupBy("id").agg(F.min("firstseen").alias("firstseen"), F.max("checked").alias("checked"))
+
+
+def t12_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows of event time; with append output only closed windows come out."""
+    out = _folder(spark)
+    table(spark, d, "events")
+    sweeps.write_batches(sweeps.windowed_counts(sweeps.stream_of(spark, f"{d}/events.parquet"), "ts", "event_type", "1 hour", "1 day"), f"{out}/rows", f"{out}/state")
+    return spark.read.parquet(f"{out}/rows").select("window_start", "event_type", "n")
+
+
+for _f in (k02_snapshot, k07_rescored, t02_stream_sweeps, t09_stream_first_seen, t12_stream_windows):
+    QUERIES[_f.__name__] = _f
+
+from sievemill.plans.registry import SQL  # noqa: E402
+
+SQL["k02_snapshot"] = "SELECT source, count(*) AS n, count(DISTINCT id) AS ids FROM jobs GROUP BY source"
+SQL["k07_rescored"] = "SELECT CASE WHEN fitscore >= 70 THEN 'high' ELSE 'rest' END AS band, count(*) AS n FROM jobs GROUP BY 1"
+SQL["t02_stream_sweeps"] = "SELECT sweep_no, count(*) AS n, count(DISTINCT id) AS ids FROM sweep_jobs GROUP BY sweep_no"
+SQL["t09_stream_first_seen"] = "SELECT id, min(checked) AS firstseen, max(checked) AS checked FROM sweep_jobs WHERE id IS NOT NULL GROUP BY id"
+# Append output holds back the windows that the watermark has not closed: those that end after the last event less an hour.
+SQL["t12_stream_windows"] = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"
