@@ -42,7 +42,7 @@ ALIASES: dict[tuple[str, str], list[str]] = {
 #: Aliases that count only right after a number.
 _GLUED = {"k", "m", "l", "mn"}
 #: Words around a number that make it something other than pay.
-_NOT_PAY_BEFORE = re.compile(r"(?:grade|band|level|step|tier|class|stufe|gruppe|tg|eg|top|over|of|last|age)\s*$")
+_NOT_PAY_BEFORE = re.compile(r"(?:grade|band|level|step|tier|class|stufe|gruppe|tg|eg|top|over|last|age)\s*$")
 _NOT_PAY_AFTER = re.compile(r"\s*(?:%|\(k\)|percent|(?:days?|weeks?|months?|years?|hours?|hrs?)\b(?!\s*rate))")
 _GROUP = r"[.,'    ’]"
 _NUMBER = re.compile(rf"(?<![\w.])(?:\d{{1,3}}(?:{_GROUP}\d{{2,3}})*{_GROUP}\d{{3}}(?!\d)(?:[.,]\d{{1,2}}(?!\d))?|\d+(?:[.,]\d+)?)")
@@ -86,7 +86,7 @@ def _number(text: str) -> Decimal:
 
 
 def _units(low: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, unit), longest match first, none overlapping, on word boundaries."""
+    """(start, end, kind, unit) from left to right, of matches at one place the longest, on word boundaries."""
     hits = []
     for end, (name, kind, unit) in _automaton().iter(low):
         start = end + 1 - len(name)
@@ -103,10 +103,10 @@ def _units(low: str) -> list[tuple[int, int, str, str]]:
                 continue
         hits.append((start, end + 1, kind, unit))
     taken: list[tuple[int, int, str, str]] = []
-    for h in sorted(hits, key=lambda h: (h[0] - h[1], h[0])):
-        if all(h[1] <= t[0] or h[0] >= t[1] for t in taken):
+    for h in sorted(hits, key=lambda h: (h[0], -h[1])):
+        if not taken or h[0] >= taken[-1][1]:
             taken.append(h)
-    return sorted(taken)
+    return taken
 
 
 def read_pay(text: str | None) -> Pay | None:
@@ -117,10 +117,13 @@ def read_pay(text: str | None) -> Pay | None:
     units = _units(low)
     amounts: list[tuple[int, int, Decimal, str | None]] = []
     for m in _NUMBER.finditer(low):
-        if _NOT_PAY_AFTER.match(low, m.end()) or _NOT_PAY_BEFORE.search(low[: m.start()].rstrip()) and not re.search(r"\bof\s*$", low[: m.start()]):
+        before = low[max(0, m.start() - 12) : m.start()].rstrip()
+        if m.end() - m.start() > 20 or _NOT_PAY_AFTER.match(low, m.end()) or _NOT_PAY_BEFORE.search(before):
             continue
         scale = next((u for s, e, k, u in units if k in ("scale", "lpa") and 0 <= s - m.end() <= 1), None)
         amounts.append((m.start(), m.end(), _number(m.group()), "lakh" if scale == "lpa" else scale))
+        if len(amounts) == 2:  # one amount or one range
+            break
     currencies = [u for u in units if u[2] == "currency"]
     periods = [u for u in units if u[2] == "period"]
     lakhs = any(k == "lpa" or u == "lakh" for _, _, k, u in units)
