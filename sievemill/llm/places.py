@@ -14,6 +14,8 @@ from sievemill.session import cut
 
 #: Slips allowed in a word of at least so many letters.
 SLIPS = ((7, 2), (5, 1))
+#: Letters of the longest word that may be misspelt.
+LONGEST = 40
 #: Words of the longest region or country name that is looked for.
 GRAM = 3
 # Short forms of words in place names, and other names of countries by code.
@@ -66,11 +68,13 @@ def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim): each distinct token with the words of the vocabulary within its allowed slips.
 
     Both sides meet on their forms with up to two letters left out, an equality join that misses no pair
-    within two slips; the distance is then computed. A token that is a word itself is not repaired.
+    within two slips; the distance is then computed. A token that is a word itself is not repaired, and
+    words of more than ``LONGEST`` letters are met by themselves only.
     """
+    longest = min(vocabulary.agg(F.max(F.length("word"))).first()[0] or 0, LONGEST)
     exact = tokens.join(vocabulary, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
-    slipped = tokens.join(exact.select("token"), "token", "left_anti").where(F.length("token") >= SLIPS[-1][0] - 1).where(~F.col("token").rlike("[0-9]"))
-    near = _without(slipped, "token").join(_without(vocabulary.where(F.length("word") >= SLIPS[-1][0]), "word"), "form").select("token", "word").distinct()
+    slipped = tokens.join(exact.select("token"), "token", "left_anti").where(F.length("token").between(SLIPS[-1][0] - 1, longest + 2)).where(~F.col("token").rlike("[0-9]"))
+    near = _without(slipped, "token").join(_without(vocabulary.where(F.length("word").between(SLIPS[-1][0], longest)), "word"), "form").select("token", "word").distinct()
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
