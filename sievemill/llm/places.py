@@ -107,7 +107,9 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     Equal scores (a city name of two regions with neither stated) all count.
     """
     blank = r"^[\s ]*$"
-    loc = cut(locations.select(F.col(column).alias("location")).where(F.col("location").isNotNull() & ~F.col("location").rlike(blank)).distinct())
+    distinct = locations.select(F.col(column).alias("location")).where(F.col("location").isNotNull() & ~F.col("location").rlike(blank)).distinct()
+    # A number stands for the text from here on, so that long texts are not repeated for their words.
+    loc = cut(distinct.withColumn("lid", F.monotonically_increasing_id()))
     raw = F.regexp_extract_all(fold("location"), F.lit("[A-Za-z0-9]+"), 0)
     short = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     listed = places.where("place_id is not null and city is not null").dropDuplicates(["place_id"])
@@ -120,30 +122,28 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     rarest = words.groupBy("place_id").agg(F.max("idf").alias("top"))
     vocabulary = words.select("word").distinct()
 
-    tokens = loc.select("location", F.posexplode(raw).alias("pos", "raw")).withColumn("low", F.lower("raw"))
+    tokens = loc.select("lid", F.posexplode(raw).alias("pos", "raw")).withColumn("low", F.lower("raw"))
     tokens = tokens.withColumn("token", F.coalesce(F.try_element_at(short, F.col("low")), F.col("low")))
     repairs = repaired_tokens(tokens.select("token").distinct(), vocabulary)
-    hits = tokens.select("location", "pos", "token").join(repairs, "token").join(words, "word").join(rarest, "place_id")
+    hits = tokens.select("lid", "pos", "token").join(repairs, "token").join(words, "word").join(rarest, "place_id")
 
     # Regions and countries stated: names as they are, codes in capitals, or at the end where all is of one case.
-    n = F.size(raw)
     one_case = (F.col("location") == F.lower("location")) | (F.col("location") == F.upper("location"))
-    at = F.explode(F.sequence(F.lit(0), n - 1))
-    grams = loc.where(n > 0).select("location", one_case.alias("one_case"), raw.alias("raw"), at.alias("pos"), n.alias("n")).select(
-        "location", "one_case", "pos", "n", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.col("n") - F.col("pos"))), lambda k: F.array_join(F.slice("raw", F.col("pos") + 1, k), " "))).alias("gram")
-    )
-    last = F.col("pos") >= F.col("n") - 1
+    split = loc.select("lid", one_case.alias("one_case"), raw.alias("raw")).where(F.size("raw") > 0)
+    starts = F.sequence(F.lit(0), F.size("raw") - 1)
+    here = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.size("raw") - i)), lambda k: F.struct(F.array_join(F.slice("raw", i + 1, k), " ").alias("gram"), (i >= F.size("raw") - 1).alias("last")))
+    grams = split.select("lid", "one_case", F.explode(F.flatten(F.transform(starts, here))).alias("g")).select("lid", "one_case", "g.*")
     stated = (
         grams.withColumn("term", F.lower("gram"))
         .join(_terms(listed), "term")
-        .where(~F.col("code") | F.when(F.col("one_case"), last).otherwise(F.col("gram") == F.upper("gram")))
-        .groupBy("location")
+        .where(~F.col("code") | F.when(F.col("one_case"), F.col("last")).otherwise(F.col("gram") == F.upper("gram")))
+        .groupBy("lid")
         .agg(
             F.collect_set(F.when(F.col("region_code").isNotNull(), F.concat_ws("/", "country_code", "region_code"))).alias("regions"),
             F.collect_set(F.when(F.col("region_code").isNull(), F.col("country_code"))).alias("countries"),
         )
     )
-    ranked = hits.join(stated, "location", "left").withColumns({"regions": F.coalesce("regions", F.array().cast("array<string>")), "countries": F.coalesce("countries", F.array().cast("array<string>"))})
+    ranked = hits.join(stated, "lid", "left").withColumns({"regions": F.coalesce("regions", F.array().cast("array<string>")), "countries": F.coalesce("countries", F.array().cast("array<string>"))})
     in_region = F.array_contains("regions", F.concat_ws("/", "country_code", "region_code"))
     in_country = F.array_contains("countries", F.col("country_code"))
     other = F.when(F.size("regions") > 0, ~in_region).otherwise((F.size("countries") > 0) & ~in_country)
@@ -152,11 +152,11 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     elsewhere = other & ~((F.size("regions") == 1) & in_country & same_code)
     scored = ranked.withColumns({"in_region": in_region, "in_country": in_country, "elsewhere": elsewhere}).where("not elsewhere")
     # One row a place and mention: the mention is the position of the word that tells the city apart.
-    per_word = scored.groupBy("location", "place_id", "word").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("top").alias("top"), F.max_by("pos", "sim").alias("pos"), F.first("in_region").alias("in_region"), F.first("in_country").alias("in_country"))
+    per_word = scored.groupBy("lid", "place_id", "word").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("top").alias("top"), F.max_by("pos", "sim").alias("pos"), F.first("in_region").alias("in_region"), F.first("in_country").alias("in_country"))
     entries = words.groupBy("place_id").agg(F.sum(F.col("idf") * F.col("idf")).alias("norm2"))
     evidence = F.first("in_region").cast("double") + 0.5 * F.first("in_country").cast("double")
     place_score = (
-        per_word.groupBy("location", "place_id")
+        per_word.groupBy("lid", "place_id")
         .agg(
             F.sum(F.col("sim") * F.col("idf") * F.col("idf")).alias("dot"),
             F.max(F.when(F.col("idf") == F.col("top"), F.col("pos"))).alias("mention"),
@@ -166,9 +166,9 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
         .join(entries, "place_id")
         .withColumn("score", F.round(F.col("dot") / F.col("norm2") + F.col("evidence"), 6))
     )
-    best = Window.partitionBy("location", "mention").orderBy(F.desc("score"))
-    kept = place_score.withColumn("nth", F.rank().over(best)).where("nth = 1").groupBy("location").agg(F.sort_array(F.collect_set("place_id")).alias("place_ids"))
-    return loc.join(kept, "location", "left").withColumn("place_ids", F.coalesce("place_ids", F.array().cast("array<int>")))
+    best = Window.partitionBy("lid", "mention").orderBy(F.desc("score"))
+    kept = place_score.withColumn("nth", F.rank().over(best)).where("nth = 1").groupBy("lid").agg(F.sort_array(F.collect_set("place_id")).alias("place_ids"))
+    return loc.join(kept, "lid", "left").select("location", F.coalesce("place_ids", F.array().cast("array<int>")).alias("place_ids"))
 
 
 def posting_places(jobs: DataFrame, places: DataFrame) -> DataFrame:
