@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sievemill.session import cut
+
 #: Where the vocabulary lies; a parameter, for it is no part of this repository.
 VOCABULARY = os.environ.get("SIEVEMILL_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the split pattern of the byte-level vocabulary.
@@ -69,21 +71,12 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def mixed(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, mix_source, tokens, copy_no): each document floor(rate) times, and once more by a
-    Bernoulli draw with the fraction of the rate as probability.
-
-    The draw hashes the id and the seed, so it does not depend on partitions and repeats exactly when an
-    executor is lost. Sources without a target are left out; null and empty texts have no tokens and are
-    left out. The tokens are counted in the scan, the rates (one row a source) are joined by key.
-    """
-    sizes = sized(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source")), vocabulary=vocabulary).select("doc_id", "mix_source", "tokens").where("tokens > 0")
-    rates = mixing_rates(sizes, targets).select("mix_source", "rate")
+def _emitted(sizes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate").cast("int") + (draw < F.col("rate") - F.floor("rate")).cast("int")
     # One row a source on the small side: it is as long as the list of targets.
     return (
-        sizes.join(F.broadcast(rates), "mix_source")
+        sizes.join(F.broadcast(rates.select("mix_source", "rate")), "mix_source")
         .withColumn("copies", copies)
         .where("copies > 0")
         .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
@@ -91,13 +84,30 @@ def mixed(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", t
     )
 
 
-def mixture_report(documents: DataFrame, targets: DataFrame, **options) -> DataFrame:
+def _counted(documents: DataFrame, doc_id: str, text: str, source: str, vocabulary: str) -> DataFrame:
+    """Id, source and tokens, written once, as the rates and the emission both read them."""
+    lean = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(source).alias("source"))
+    return cut(sized(lean, vocabulary=vocabulary).select("doc_id", "mix_source", "tokens").where("tokens > 0"))
+
+
+def mixed(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, mix_source, tokens, copy_no): each document floor(rate) times, and once more by a
+    Bernoulli draw with the fraction of the rate as probability.
+
+    The draw hashes the id and the seed, so it does not depend on partitions and repeats exactly when an
+    executor is lost. Sources without a target are left out; null and empty texts have no tokens and are
+    left out. The tokens are counted once, in the scan, the rates (one row a source) are joined by key.
+    """
+    sizes = _counted(documents, doc_id, text, source, vocabulary)
+    return _emitted(sizes, mixing_rates(sizes, targets), seed)
+
+
+def mixture_report(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per target source: documents, tokens, target, cap, rate, what was emitted and the share reached,
     of the emitted total and of the corpus total."""
-    names = {k: v for k, v in options.items() if k in ("text", "source", "vocabulary")}
-    sizes = sized(documents, **names).select("mix_source", "tokens").where("tokens > 0")
+    sizes = _counted(documents, doc_id, text, source, vocabulary)
     rates = mixing_rates(sizes, targets)
-    got = mixed(documents, targets, **options).groupBy("mix_source").agg(F.sum("tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copy_no").alias("most_copies"))
+    got = _emitted(sizes, rates, seed).groupBy("mix_source").agg(F.sum("tokens").alias("mixed_tokens"), F.count(F.lit(1)).alias("mixed_docs"), F.max("copy_no").alias("most_copies"))
     joined = rates.join(got, "mix_source", "left").fillna(0, ["mixed_tokens", "mixed_docs", "most_copies", "source_tokens", "source_docs"])
     # One row a target source: the window's single partition is as long as the list of targets.
     of_mix = F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(Window.partitionBy()), F.lit(0))
