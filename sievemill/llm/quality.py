@@ -6,6 +6,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -27,7 +28,8 @@ _INLINE = re.compile(r"\s[·•|/]\s|;\s|,\s")
 _VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýœ")
 # What UTF-8 read as another encoding leaves behind.
 _MOJIBAKE = re.compile(r"[ÃÂâ][-¿‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ¬€]|ï¿½|ðŸ|â€|Å¾|�")
-_CODE = frozenset("{}[]=;<>()$&*#\\^~|+_@")
+_CODE = "{}[]=;<>()$&*#\\^~|+_@"
+_SYMBOL = re.compile(r"[^\w\s.,;:!?'\"’“”„«»\-–—()/%&…]|_")
 
 
 def lines_of(text: str) -> list[str]:
@@ -52,6 +54,22 @@ def _cells(line: str) -> int:
     )
 
 
+@lru_cache(1 << 16)
+def _voiced(t: str) -> bool:
+    return not t.isascii() or not _VOWELS.isdisjoint(t)
+
+
+@lru_cache(1 << 16)
+def _odd(t: str) -> bool:
+    """No word of a language: letters and digits mixed, no vowel, or far too long."""
+    return (not t.isalpha() and not t.isdigit() and len(t) > 2) or (len(t) > 3 and t.isalpha() and not _voiced(t)) or len(t) > 34
+
+
+@lru_cache(1 << 16)
+def _hexish(t: str) -> bool:
+    return len(t) == 4 and not set(t) - set("0123456789abcdef")
+
+
 def _emissions(line: str, repeats: float, cells_near: int, common: frozenset[str]) -> list[float]:
     """Log scores of the line under prose, list, table and junk."""
     s = line.strip()
@@ -61,16 +79,16 @@ def _emissions(line: str, repeats: float, cells_near: int, common: frozenset[str
     low = body.lower()
     tokens = _TOKEN.findall(low)
     k = len(tokens)
-    solid = sum(not c.isspace() for c in s)
-    alpha = sum(c.isalpha() for c in s)
-    symbols = sum(not (c.isalnum() or c.isspace() or c in ".,;:!?'\"’“”„«»-–—()/%&…") for c in s)
-    code = sum(c in _CODE for c in s)
-    broken = sum(len(m) for m in _MOJIBAKE.findall(s))
-    function = sum(t in common for t in tokens) / k if k else 0.0
+    solid = len("".join(s.split()))
+    alpha = sum(map(str.isalpha, s))
+    symbols = len(_SYMBOL.findall(s))
+    code = sum(map(s.count, _CODE))
+    broken = 0 if s.isascii() else sum(map(len, _MOJIBAKE.findall(s)))
+    function = sum(map(common.__contains__, tokens)) / k if k else 0.0
     words = [t for t in tokens if t.isalpha()]
-    odd = sum((not t.isalpha() and not t.isdigit() and len(t) > 2) or (len(t) > 3 and t.isalpha() and t.isascii() and not _VOWELS & set(t)) or len(t) > 34 for t in tokens)
+    odd = sum(map(_odd, tokens))
     odd_share = odd / k if k else 1.0
-    hexish = sum(len(t) == 4 and all(c in "0123456789abcdef" for c in t) for t in tokens) / k if k else 0.0
+    hexish = sum(map(_hexish, tokens)) / k if k else 0.0
     distinct = len(set(tokens)) / k if k else 0.0
     ends = s[-1] in ".!?…\"”»" if s else False
     cells = _cells(line)
@@ -94,7 +112,7 @@ def _emissions(line: str, repeats: float, cells_near: int, common: frozenset[str
         junk += 7
     if not k or alpha / max(1, solid) < 0.2 and cells < 3:
         junk += 2.5
-    if len(words) >= 4 and sum(bool(_VOWELS & set(w)) or not w.isascii() for w in words) / len(words) < 0.6:
+    if len(words) >= 4 and sum(map(_voiced, words)) / len(words) < 0.6:
         junk += 4
 
     table = 0.0
@@ -223,7 +241,6 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, *, doc_id: st
         F.filter(F.split(t, "\n"), lambda x: F.trim(x) != "").alias("l"),
         F.length(F.regexp_replace(t, r"[\p{L}\p{N}\s]", "")).alias("n_symbols"),
     )
-    common = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     ratio = lambda a, b: F.round(a / F.nullif(b, F.lit(0)), 6)
     n_words, n_lines = F.size("w"), F.size("l")
     return staged.select(
@@ -232,5 +249,5 @@ def text_statistics(documents: DataFrame, common_words: DataFrame, *, doc_id: st
         ratio(F.col("n_symbols"), F.col("n_chars")).alias("symbol_ratio"),
         n_lines.alias("n_lines"),
         ratio(F.size(F.filter("l", lambda x: F.rtrim(x).rlike(r"[.!?]$"))), n_lines).alias("ended_lines"),
-        ratio(F.size(F.filter("w", lambda x: F.array_contains(common, x))), n_words).alias("common_share"),
+        ratio(F.size(F.filter("w", lambda x: x.isin(*words))), n_words).alias("common_share"),
     )
