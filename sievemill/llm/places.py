@@ -118,14 +118,15 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     total = listed.count()
     # The frequency of a word over cities, not rows, so a name of two regions stays distinctive.
     frequency = entry.groupBy("word").agg(F.count_distinct(F.lower("city")).alias("df")).select("word", "df", F.log(1 + F.lit(total) / F.col("df")).alias("idf"))
-    words = cut(entry.join(frequency, "word").select("place_id", "word", "df", "idf", "region_code", "country_code", F.lower("city").alias("city")))
-    rarest = words.groupBy("place_id").agg(F.max("idf").alias("top"))
+    of_place = Window.partitionBy("place_id")
+    measured = entry.join(frequency, "word").select("place_id", "word", "idf", "region_code", "country_code", F.max("idf").over(of_place).alias("top"), F.sum(F.col("idf") * F.col("idf")).over(of_place).alias("norm2"))
+    words = cut(measured)
     vocabulary = words.select("word").distinct()
 
     tokens = loc.select("lid", F.posexplode(raw).alias("pos", "raw")).withColumn("low", F.lower("raw"))
     tokens = tokens.withColumn("token", F.coalesce(F.try_element_at(short, F.col("low")), F.col("low")))
     repairs = repaired_tokens(tokens.select("token").distinct(), vocabulary)
-    hits = tokens.select("lid", "pos", "token").join(repairs, "token").join(words, "word").join(rarest, "place_id")
+    hits = tokens.select("lid", "pos", "token").join(repairs, "token").join(words, "word")
 
     # Regions and countries stated: names as they are, codes in capitals, or at the end where all is of one case.
     one_case = (F.col("location") == F.lower("location")) | (F.col("location") == F.upper("location"))
@@ -152,8 +153,7 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     elsewhere = other & ~((F.size("regions") == 1) & in_country & same_code)
     scored = ranked.withColumns({"in_region": in_region, "in_country": in_country, "elsewhere": elsewhere}).where("not elsewhere")
     # One row a place and mention: the mention is the position of the word that tells the city apart.
-    per_word = scored.groupBy("lid", "place_id", "word").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("top").alias("top"), F.max_by("pos", "sim").alias("pos"), F.first("in_region").alias("in_region"), F.first("in_country").alias("in_country"))
-    entries = words.groupBy("place_id").agg(F.sum(F.col("idf") * F.col("idf")).alias("norm2"))
+    per_word = scored.groupBy("lid", "place_id", "word").agg(F.max("sim").alias("sim"), F.first("idf").alias("idf"), F.first("top").alias("top"), F.first("norm2").alias("norm2"), F.max_by("pos", "sim").alias("pos"), F.first("in_region").alias("in_region"), F.first("in_country").alias("in_country"))
     evidence = F.first("in_region").cast("double") + 0.5 * F.first("in_country").cast("double")
     place_score = (
         per_word.groupBy("lid", "place_id")
@@ -161,9 +161,9 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
             F.sum(F.col("sim") * F.col("idf") * F.col("idf")).alias("dot"),
             F.max(F.when(F.col("idf") == F.col("top"), F.col("pos"))).alias("mention"),
             evidence.alias("evidence"),
+            F.first("norm2").alias("norm2"),
         )
         .where("mention is not null")
-        .join(entries, "place_id")
         .withColumn("score", F.round(F.col("dot") / F.col("norm2") + F.col("evidence"), 6))
     )
     best = Window.partitionBy("lid", "mention").orderBy(F.desc("score"))
