@@ -18,24 +18,14 @@ class Batch(InputPartition):
 
 
 class BoardReader(DataSourceReader):
-    """Reads <path>/<kind>/<token>.json, '%2F' in names for '/'. A filter on ``kind`` is pushed down to the
-    listing; a file that cannot be read or parsed becomes a row that says so, so one board fails alone."""
+    """Reads <path>/<kind>/<token>.json, '%2F' in names for '/'. A file that cannot be read or parsed becomes a
+    row that says so, so one board fails alone."""
 
     def __init__(self, options: dict[str, str]) -> None:
         self.path = options["path"]
         self.size = int(options.get("boardsperpartition", "64"))
-        self.limit = int(options.get("maxcharacters", "0"))
         self.kinds: set[str] | None = None
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("kind",):
-                self.kinds = {f.value} & (self.kinds or {f.value})
-            elif isinstance(f, In) and f.attribute == ("kind",):
-                self.kinds = set(f.value) & (self.kinds or set(f.value))
-            else:
-                yield f
-
     def partitions(self) -> Sequence[InputPartition]:
         kinds = sorted(k for k in os.listdir(self.path) if os.path.isdir(os.path.join(self.path, k)))
         files = [(k, f) for k in kinds if self.kinds is None or k in self.kinds for f in sorted(os.listdir(os.path.join(self.path, k))) if f.endswith(".json")]
@@ -54,7 +44,24 @@ class BoardReader(DataSourceReader):
                 yield kind, token, None, False, str(e)[:300], None
 
 
+class FilteringReader(BoardReader):
+    """Takes filters on ``kind`` into the listing."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:  # noqa: N802
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("kind",):
+                self.kinds = {f.value} & (self.kinds or {f.value})
+            elif isinstance(f, In) and f.attribute == ("kind",):
+                self.kinds = set(f.value) & (self.kinds or set(f.value))
+            else:
+                yield f
+
+
 class BoardSource(DataSource):
+    """Options: ``path``; ``boardsPerPartition``; ``pushFilters`` = true reads only the kinds asked for. Then
+    each filter needs a load of its own, as Spark keeps one reader a loaded table and a second scan of it
+    would see the first one's filter."""
+
     @classmethod
     def name(cls) -> str:
         return "boards_replay"
@@ -63,7 +70,8 @@ class BoardSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return BoardReader(dict(self.options))
+        options = dict(self.options)
+        return (FilteringReader if options.get("pushfilters", "").lower() == "true" else BoardReader)(options)
 
 
 def register(spark: SparkSession) -> None:

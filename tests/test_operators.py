@@ -228,12 +228,14 @@ def test_replay_pushes_the_kind_down(spark, tmp_path):
         for i in range(3):
             (tmp_path / kind / f"b{i}.json").write_text(json.dumps({"company": "Acme", "payload": [{"id": i}]}))
     (tmp_path / "ashby" / "bad.json").write_text("{")
+    load = lambda push=False: spark.read.format("boards_replay").option("path", str(tmp_path)).option("boardsPerPartition", 2).option("pushFilters", push).load()
     replay.register(spark)
-    df = spark.read.format("boards_replay").option("path", str(tmp_path)).option("boardsPerPartition", 2).load()
+    df = load()
     assert df.count() == 10 and df.where("not ok").count() == 1
-    one = df.where("kind = 'lever'")
+    assert df.where("kind = 'lever'").union(df).groupBy("kind").count().count() == 3
+    one = load(True).where("kind = 'lever'")
     assert one.count() == 3 and one.rdd.getNumPartitions() == 2
-    assert df.where("kind in ('lever', 'zoho') and ok").count() == 6
+    assert load(True).where("kind in ('lever', 'zoho') and ok").count() == 6
 
 
 def test_files(spark, tmp_path):

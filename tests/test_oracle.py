@@ -20,5 +20,12 @@ def test_runs(spark, name):
     assert QUERIES[name](spark, SMALL).count() >= 0
 
 
+def test_every_platform_is_replayed(spark):
+    from sievemill.sources.feeds import FEEDS
+
+    rows = QUERIES["s01_replay"](spark, SMALL).collect()
+    assert {r["kind"] for r in rows} == set(FEEDS) and all((r["ok"], r["failed"], r["n"]) == (1, 1, 1) for r in rows)
+
+
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(QUERIES)
