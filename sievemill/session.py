@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,9 +50,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the Python workers import this package: Spark's file server hands them an archive of it, once a
+    context, unless the package lies on the PYTHONPATH that they share."""
+    context = spark.sparkContext
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    if getattr(context, "_sievemill_shipped", False) or root in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="sievemill-"), "sievemill.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "sievemill")):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, root))
+    context.addPyFile(archive)
+    context._sievemill_shipped = True
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the Parquet tables. The engine works in UTC: the session is pinned to it and timestamps
     stored without a zone are read as UTC instants."""
+    ship(spark)
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     df = spark.read.parquet(f"{directory}/{name}.parquet")
