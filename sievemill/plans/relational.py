@@ -334,17 +334,32 @@ def x01_as_of_join(events: DataFrame) -> DataFrame:
     return matching.as_of(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "at", "bought_at").select("event_id", F.col("as_of_bought_at").alias("bought_at"))
 
 
+def _points_in_spans(events: DataFrame, orders: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Events, moved to begin with the first order, within the days of the chosen orders."""
+    s = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000)).cast("bigint")
+    spans = chosen.select("o_orderkey", s("o_orderdate").alias("a"), (s("o_orderdate") + 86400).alias("b"))
+    base = events.agg(F.min(s("ts")).alias("e0")).withColumn("one", F.lit(1)).join(orders.agg(F.min(s("o_orderdate")).alias("o0")).withColumn("one", F.lit(1)), "one")
+    points = events.withColumn("one", F.lit(1)).join(F.broadcast(base), "one").select("event_id", (s("ts") - F.col("e0") + F.col("o0")).alias("at"))
+    return matching.range_join(points, spans, "at", "a", "b", 86400).select("event_id", "o_orderkey")
+
+
 @query("events", "orders", sql="""
 WITH spans AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS b FROM orders WHERE o_orderkey % 50 = 0),
 shifted AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) - (SELECT min(CAST(epoch(ts) AS BIGINT)) FROM events) + (SELECT min(CAST(epoch(o_orderdate) AS BIGINT)) FROM orders) AS tick FROM events)
 SELECT event_id, o_orderkey FROM shifted JOIN spans ON tick >= a AND tick < b""")
 def x02_range_join(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Points within spans by bins: the orders whose key is a multiple of 50 are this report's spans."""
-    s = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000)).cast("bigint")
-    spans = orders.where("o_orderkey % 50 = 0").select("o_orderkey", s("o_orderdate").alias("a"), (s("o_orderdate") + 86400).alias("b"))
-    base = events.agg(F.min(s("ts")).alias("e0")).withColumn("one", F.lit(1)).join(orders.agg(F.min(s("o_orderdate")).alias("o0")).withColumn("one", F.lit(1)), "one")
-    points = events.withColumn("one", F.lit(1)).join(F.broadcast(base), "one").select("event_id", (s("ts") - F.col("e0") + F.col("o0")).alias("at"))
-    return matching.range_join(points, spans, "at", "a", "b", 86400).select("event_id", "o_orderkey")
+    """Points within spans by bins: the orders whose key is a multiple of 50 are this report's spans, as its SQL
+    has it; x02_range_join_whole takes all orders."""
+    return _points_in_spans(events, orders, orders.where("o_orderkey % 50 = 0"))
+
+
+@query("events", "orders", sql="""
+WITH spans AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS b FROM orders),
+shifted AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) - (SELECT min(CAST(epoch(ts) AS BIGINT)) FROM events) + (SELECT min(CAST(epoch(o_orderdate) AS BIGINT)) FROM orders) AS tick FROM events)
+SELECT event_id, o_orderkey FROM shifted JOIN spans ON tick >= a AND tick < b""")
+def x02_range_join_whole(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Points within the spans of all orders."""
+    return _points_in_spans(events, orders, orders)
 
 
 @query("jobs", sql="SELECT source, workplace, count(*) AS n FROM jobs GROUP BY CUBE (source, workplace)")
