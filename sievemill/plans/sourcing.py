@@ -5,26 +5,49 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions.text import collapse
 from sievemill.plans.registry import QUERIES, SQL, query
-from sievemill.session import table
+from sievemill.session import cut, table
 from sievemill.sources import feeds, files, replay
 
 _PLAIN = r"trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))"
 _NUMBER = {kind: f"n{i:02d}_{kind}" for i, kind in enumerate(feeds.FEEDS, 1)}
 
 
+def _payload(kind: str) -> Column:
+    """A posting as the platform would deliver it."""
+    when = {"iso": F.date_format("firstseen", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "relative": F.lit("3 days ago"), "day_first": F.date_format("firstseen", "d/M/yyyy"), "rfc": F.date_format("firstseen", "EEE, dd MMM yyyy HH:mm:ss '+0000'")}[feeds.FEEDS[kind].dated]
+    return feeds.as_delivered(kind, F.md5("id"), F.col("title"), F.coalesce("location", F.lit("")), F.concat(F.lit("https://x.example/"), F.md5("id")), when)
+
+
+def _envelope(item: Column) -> Column:
+    return F.concat(F.lit('{"total":1,"jobs":['), item, F.lit("]}"))
+
+
 def _payloads(jobs: DataFrame, kind: str) -> DataFrame:
     """The postings as the platform would deliver them, one payload a row, in an envelope."""
-    feed = feeds.FEEDS[kind]
-    when = {"iso": F.date_format("firstseen", "yyyy-MM-dd'T'HH:mm:ss'Z'"), "relative": F.lit("3 days ago"), "day_first": F.date_format("firstseen", "d/M/yyyy"), "rfc": F.date_format("firstseen", "EEE, dd MMM yyyy HH:mm:ss '+0000'")}[feed.dated]
     rows = jobs.where("id is not null and title is not null").select("id", "title", "location", "firstseen", "checked", "company").distinct()
-    item = feeds.as_delivered(kind, F.md5("id"), F.col("title"), F.coalesce("location", F.lit("")), F.concat(F.lit("https://x.example/"), F.md5("id")), when)
-    return rows.select(F.lit("acme/site").alias("token"), "company", "checked", F.concat(F.lit('{"total":1,"jobs":['), item, F.lit("]}")).alias("payload"))
+    return rows.select(F.lit("acme/site").alias("token"), "company", "checked", _envelope(_payload(kind)).alias("payload"))
+
+
+def _of_their_feeds(jobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, kind, company, checked, item): each titled posting once, as its own source would deliver it; and
+    (source, without_feed): the numbers of the postings whose source has no feed, or is null."""
+    known = F.coalesce(F.col("source").isin(*feeds.FEEDS), F.lit(False))
+    titled = jobs.where(F.col("id").isNotNull() & (collapse(F.col("title")) != ""))
+    fields = ("title", "location", "firstseen", "checked", "company")
+    once = titled.where(known).groupBy("id", "source").agg(F.min(F.struct(*fields)).alias("p")).select("id", "source", "p.*")
+    item = F.coalesce(*[F.when(F.col("source") == k, _payload(k)) for k in feeds.FEEDS])
+    lacking = titled.where(~known).groupBy("source").agg(F.count_distinct("id").alias("without_feed"))
+    return once.select("id", F.col("source").alias("kind"), "company", "checked", item.alias("item")), lacking
 
 
 def _add_feed(kind: str) -> None:
@@ -73,6 +96,21 @@ def n27_normalise_all(jobs: DataFrame) -> DataFrame:
     return feeds.normalise_all(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+_LISTED = ", ".join(f"'{k}'" for k in feeds.FEEDS)
+_TITLED = f"SELECT DISTINCT id, source, coalesce(source IN ({_LISTED}), false) AS known FROM jobs WHERE id IS NOT NULL AND {_PLAIN} <> ''"
+
+
+@query("jobs", sql=f"SELECT source, count_if(known) AS normalised, count_if(NOT known) AS without_feed FROM ({_TITLED}) GROUP BY source")
+def n27_normalise_whole(jobs: DataFrame) -> DataFrame:
+    """Payloads of every platform in one table, each by its own projection; the postings of sources without a
+    feed are counted as such."""
+    rows, lacking = _of_their_feeds(jobs)
+    # Each platform's projection reads the payloads, so they are made once.
+    payloads = cut(rows.select("kind", F.lit("acme/site").alias("token"), "company", "checked", _envelope(F.col("item")).alias("payload")))
+    done = feeds.normalise_all(payloads).select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("normalised"))
+    return done.withColumn("without_feed", F.lit(0).cast("bigint")).unionByName(lacking.withColumn("normalised", F.lit(0).cast("bigint")))
+
+
 @query("boards", sql="SELECT DISTINCT company, type, token FROM boards WHERE company IS NOT NULL")
 def n28_json_without_nulls(boards: DataFrame) -> DataFrame:
     """Rows to JSON without null fields and back."""
@@ -173,5 +211,62 @@ def s01_replay(spark: SparkSession, d: str) -> DataFrame:
     return status.join(good, F.col("kind") == F.col("source"), "left").select("kind", "ok", "failed", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-for _f in (s01_replay, s25_rss, s27_thread, s31_index_lines, s32_csv, s33_directory, s34_json_lists, s35_read_or_empty, s36_sharded_map):
+#: Postings in one recorded file.
+_PAGE = 200
+
+
+def _record(rows: DataFrame, root: str) -> None:
+    """(id, kind, company, item) as files <root>/<kind>/, a page of postings each, written by the executors.
+    A task done twice writes the same names, each file whole."""
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, kind, page, held, files = TaskContext.get().partitionId(), None, 0, [], 0
+
+        def flush() -> int:
+            if not held:
+                return 0
+            name = os.path.join(root, kind, f"acme%2Fsite-{part}-{page}.json")
+            with open(f"{name}.{uuid.uuid4().hex}", "w", encoding="utf-8") as f:
+                f.write(f'{{"payload": [{",".join(held)}]}}')
+            os.replace(f.name, name)
+            return 1
+
+        for pdf in batches:
+            for k, item in zip(pdf["kind"], pdf["item"], strict=True):
+                if k != kind or len(held) == _PAGE:
+                    files, page, held = files + flush(), page + 1, []
+                    kind = k
+                held.append(item)
+        yield pd.DataFrame({"files": [files + flush()]})
+
+    rows.repartition("id").sortWithinPartitions("kind", "id").select("kind", "item").mapInPandas(write, "files bigint").agg(F.sum("files")).collect()
+
+
+def s01_replay_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All postings, recorded under their platforms in pages, through the data source and the normalisers; one
+    broken board a platform. Postings of sources without a feed are counted as such."""
+    root = _folder(spark)
+    for kind in feeds.FEEDS:
+        os.makedirs(os.path.join(root, kind))
+        with open(os.path.join(root, kind, "bad.json"), "w") as f:
+            f.write("{")
+    rows, lacking = _of_their_feeds(table(spark, d, "jobs"))
+    _record(rows, root)
+    replay.register(spark)
+    read = cut(spark.read.format("boards_replay").option("path", root).load())
+    at = F.lit("2025-11-09 00:00:00").cast("timestamp")
+    good = feeds.normalise_all(read.where("ok").withColumn("checked", at)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    status = read.groupBy("kind").agg(F.count_if(~F.col("ok")).alias("failed"))
+    none = F.lit(0).cast("bigint")
+    found = status.join(good, F.col("kind") == F.col("source"), "left").select("kind", "failed", F.coalesce("n", none).alias("n"), none.alias("without_feed"))
+    return found.unionByName(lacking.select(F.col("source").alias("kind"), none.alias("failed"), none.alias("n"), "without_feed"))
+
+
+SQL["s01_replay_whole"] = f"""
+WITH t AS ({_TITLED}), feeds AS (SELECT unnest([{_LISTED}]) AS kind)
+SELECT kind, 1 AS failed, count(id) AS n, 0 AS without_feed FROM feeds LEFT JOIN t ON source = kind GROUP BY kind
+UNION ALL SELECT source, 0, 0, count(*) FROM t WHERE NOT known GROUP BY source"""
+
+
+for _f in (s01_replay, s01_replay_whole, s25_rss, s27_thread, s31_index_lines, s32_csv, s33_directory, s34_json_lists, s35_read_or_empty, s36_sharded_map):
     QUERIES[_f.__name__] = _f

@@ -20,3 +20,26 @@ def test_range_join_takes_all_orders(spark, tmp_path):
     want = sorted((i, k) for i, at in moved for k, day in orders if day <= at < day + timedelta(days=1))
     assert len(want) > 12
     assert sorted(tuple(r) for r in QUERIES["x02_range_join_whole"](spark, str(tmp_path)).collect()) == want
+
+
+def _postings(tmp_path):
+    sources = ["greenhouse", "workday", "jazzhr", "personio", "paylocity", "rippling", "careerpage", None]
+    rows = [{"id": f"{s}-{i}", "source": s, "title": f"Title {i}", "location": "Oslo", "company": "Acme", "firstseen": datetime(2025, 11, 1), "checked": datetime(2025, 11, 9)} for k, s in enumerate(sources) for i in range(2 + 100 * k)]
+    rows += [rows[0] | {"title": "Another"}, rows[0] | {"id": "blank", "title": " "}, rows[0] | {"id": None}]
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / "jobs.parquet")
+    return {s: 2 + 100 * k for k, s in enumerate(sources)}
+
+
+def test_normalise_takes_every_platform(spark, tmp_path):
+    have = _postings(tmp_path)
+    got = {r["source"]: (r["normalised"], r["without_feed"]) for r in QUERIES["n27_normalise_whole"](spark, str(tmp_path)).collect()}
+    assert got == {s: (0, n) if s in ("careerpage", None) else (n, 0) for s, n in have.items()}
+
+
+def test_replay_takes_every_posting(spark, tmp_path):
+    from sievemill.sources.feeds import FEEDS
+
+    have = _postings(tmp_path)
+    got = {r["kind"]: (r["failed"], r["n"], r["without_feed"]) for r in QUERIES["s01_replay_whole"](spark, str(tmp_path)).collect()}
+    want = {k: (1, have.get(k, 0), 0) for k in FEEDS} | {s: (0, 0, have[s]) for s in ("careerpage", None)}
+    assert got == want
