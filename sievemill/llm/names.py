@@ -9,7 +9,7 @@ from functools import lru_cache
 from itertools import permutations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.operators.components import connected_components
@@ -188,11 +188,10 @@ def _resolved(parsed: DataFrame, lines: frozenset[str]) -> DataFrame:
 
 
 def _candidates(names: DataFrame) -> DataFrame:
-    """Pairs of names that share a suffix of a word; a common suffix is refined, never dropped: by the
-    line of business, and by the end of the rest of the name."""
+    """Pairs of names that share a suffix of a word and do not differ in the line of business. A common suffix
+    is refined and loses no pair: names with a line meet those of the same line, and names without one meet all."""
     long = F.filter("core", lambda t: F.length(t) >= SUFFIX)
     word = names.select("company", "line", "core", F.explode(F.array_distinct(long)).alias("word"))
-    rest = F.array_join(F.array_sort(F.filter(F.array_except("core", F.array("word")), lambda t: F.length(t) > 1)), "")
     plain = F.regexp_replace("word", r"(.)\1", "$1")  # a doubled letter is the commonest slip
     n, inner = F.length(plain), SUFFIX + 1
     # What shares a longer suffix shares these too.
@@ -200,15 +199,25 @@ def _candidates(names: DataFrame) -> DataFrame:
     # Slips near the end of every word hide all suffixes; those of the word's beginnings remain.
     each = F.transform(F.sequence(F.lit(1), n - inner), lambda k: F.substring(plain, k, F.lit(inner)))
     starts = F.when(n <= inner, F.array().cast("array<string>")).when(n <= 512, each).otherwise(F.regexp_extract_all(plain, F.lit(rf"(?=(.{{{inner}}}))"), 1))
-    suffix = cut(word.select("company", "line", "core", F.substring(rest, -3, 3).alias("rest"), F.explode(F.array_union(ends, starts)).alias("suffix")).distinct())
+    suffix = cut(word.select("company", "line", "core", F.explode(F.array_union(ends, starts)).alias("suffix")).distinct())
     sizes = suffix.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
-    by_line = F.when(F.col("line") != "", F.concat_ws("|", F.col("suffix"), F.lit("line"), F.col("line")))
-    by_rest = F.concat_ws("|", F.col("suffix"), F.lit("rest"), F.col("rest"))
-    keys = F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_compact(F.array(by_line, by_rest)))
-    keyed = suffix.join(sizes, "suffix").select("company", "line", "core", F.explode(keys).alias("key")).distinct()
-    one, two = (keyed.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("company", "line", "core")]) for side in "ab")
-    fits = (F.col("company_a") < F.col("company_b")) & ((F.col("line_a") == F.col("line_b")) | (F.col("line_a") == "") | (F.col("line_b") == ""))
-    return one.join(two, "key").where(fits).drop("key").distinct()
+    bare = F.col("line") == ""
+    by_line = F.when(~bare, F.concat_ws("|", F.col("suffix"), F.lit("line"), F.col("line")))
+    to_all = F.concat_ws("|", F.col("suffix"), F.lit("all"))
+    sized = suffix.join(sizes, "suffix")
+
+    def keyed(side: str, *common: Column) -> DataFrame:
+        keys = F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_compact(F.array(*common)))
+        named = [F.col(c).alias(f"{c}_{side}") for c in ("company", "line", "core")]
+        return sized.select(F.explode(keys).alias("key"), *named)
+
+    both = keyed("a", by_line, F.when(bare, to_all)).join(keyed("b", by_line, to_all), "key")
+    # Only the keys of all are not the same on both sides, so their pairs may come in the other order.
+    ordered = F.col("company_a") < F.col("company_b")
+    one_way = F.endswith("key", F.lit("|all")) & (F.col("company_a") != F.col("company_b"))
+    fits = (ordered | one_way) & ((F.col("line_a") == F.col("line_b")) | (F.col("line_a") == "") | (F.col("line_b") == ""))
+    turned = [F.when(ordered, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("company", "line", "core")]
+    return both.where(fits).select(*turned).distinct()
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
