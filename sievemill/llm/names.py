@@ -26,6 +26,9 @@ WORD_RATIO, NAME_RATIO = 0.7, 0.82
 #: A last word is a line of business if it ends at least this share of the names, and this many.
 TAIL_SHARE, TAIL_COUNT = 0.005, 5
 
+#: Names of up to so many words are compared in every order, longer ones by an assignment.
+FEW = 5
+
 # Words without weight, legal forms, lines of business, and short forms of first names.
 NOISE = frozenset("the and und et y of for a an der die das la le el".split())
 LEGAL = frozenset(
@@ -117,9 +120,60 @@ def _alike(a: str, b: str) -> int | None:
     return n if 2 * n / (len(a) + len(b)) >= WORD_RATIO else None
 
 
+def _assigned(gain: list[list[int | None]]) -> int | None:
+    """The greatest sum of one cell a row and column, without the cells that are None (Hungarian method)."""
+    n, far = len(gain), 10**12
+    u, v, row_of = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        row_of[0], j, least, way, done = i, 0, [far * n] * (n + 1), [0] * (n + 1), [False] * (n + 1)
+        while row_of[j]:
+            done[j], r = True, row_of[j]
+            for k in range(1, n + 1):
+                if not done[k]:
+                    g = gain[r - 1][k - 1]
+                    cost = (far if g is None else -g) - u[r] - v[k]
+                    if cost < least[k]:
+                        least[k], way[k] = cost, j
+            to = min((k for k in range(1, n + 1) if not done[k]), key=least.__getitem__)
+            step = least[to]
+            for k in range(n + 1):
+                if done[k]:
+                    u[row_of[k]] += step
+                    v[k] -= step
+                else:
+                    least[k] -= step
+            j = to
+        while j:
+            row_of[j] = row_of[way[j]]
+            j = way[j]
+    cells = [gain[row_of[k] - 1][k - 1] for k in range(1, n + 1)]
+    return None if None in cells else sum(cells)
+
+
+def _matched(a: Sequence[str], b: Sequence[str]) -> str | None:
+    """As the orders of few words, by an assignment: 'full' if one without single letters for words is enough."""
+    need = round(100 * NAME_RATIO)
+    gains, initials = [], []
+    for x in a:
+        row = [None if (n := _alike(x, y)) is None else 1000 * (200 * n - need * (len(x) + len(y))) + 1 for y in b]
+        short = [g if g is not None or min(len(x), len(y)) > 1 or x[0] != y[0] else 0 for g, y in zip(row, b, strict=True)]
+        if all(g is None for g in short):
+            return None
+        gains.append(row)
+        initials.append(short)
+    # The one that each pair of words counts tells a sum of nothing but initials from one that is just enough.
+    for kind, table in (("full", gains), ("initial", initials)):
+        best = _assigned(table)
+        if best is not None and best > 0:
+            return kind
+    return None
+
+
 def same_organisation(a: Sequence[str], b: Sequence[str]) -> str | None:
     """'full' if the words of one name are those of the other, in any order, misspelt or joined; 'initial'
     if a single letter stands for a word; None otherwise. First names may be short forms or be missing."""
+    if a and sorted(a) == sorted(b):
+        return "full"
     first = _first_names()
     names_a, names_b = [t for t in a if t in first], [t for t in b if t in first]
     if names_a and names_b:
@@ -130,7 +184,7 @@ def same_organisation(a: Sequence[str], b: Sequence[str]) -> str | None:
         a, b = b, a
     if not a:
         return None
-    if len(a) == len(b) <= 5:
+    if len(a) == len(b) <= FEW:
         for order in permutations(b):
             common = total = 0
             kind = "full"
@@ -148,7 +202,9 @@ def same_organisation(a: Sequence[str], b: Sequence[str]) -> str | None:
             else:
                 if total and common / total >= NAME_RATIO:
                     return kind
-    if len(b) == len(a) + 1 <= 6:
+    elif len(a) == len(b):
+        return _matched(a, b)
+    if len(b) == len(a) + 1:
         extra = [t for t in b if t in first]
         if extra and len(a) >= 2 and not (set(a) & first.keys()):
             return same_organisation(a, [t for t in b if t != extra[0]])
@@ -260,10 +316,13 @@ def organisations(names: DataFrame, *, column: str = "company") -> DataFrame:
         .join(lack.select(F.col("part").alias("to_part"), F.col("lack").alias("to_lack")), "to_part")
         .where("to_lack < from_lack")
     )
-    full = leans.where("to_lack = 0").groupBy("from_part").agg(F.min("to_part").alias("to_part"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    # Parts that lack nothing never lean, so these links are one step long.
-    leaning = labelled.join(full.select(F.col("from_part").alias("part"), "to_part"), "part", "left")
-    return leaning.select("company", F.coalesce("to_part", "part").alias("organisation"))
+    # Where it leans on a part that lacks nothing, only those count; else those that lack less than it.
+    n = F.when(F.min("to_lack") == 0, F.count_if(F.col("to_lack") == 0)).otherwise(F.count(F.lit(1)))
+    only = cut(leans.groupBy("from_part").agg(F.min(F.struct("to_lack", "to_part"))["to_part"].alias("to_part"), n.alias("n")).where("n = 1").select("from_part", "to_part"))
+    # A part lacks at most two facts, so links are at most two steps long.
+    further = only.select(F.col("from_part").alias("to_part"), F.col("to_part").alias("end"))
+    ends = only.join(further, "to_part", "left").select(F.col("from_part").alias("part"), F.coalesce("end", "to_part").alias("to_part"))
+    return labelled.join(ends, "part", "left").select("company", F.coalesce("to_part", "part").alias("organisation"))
 
 
 def spelling_pairs(boards: DataFrame, jobs: DataFrame) -> DataFrame:
