@@ -10,6 +10,7 @@ def iso_instant(c: Column) -> Column:
     """ISO text (without zone: UTC), or a count of seconds or, by its size, milliseconds since 1970."""
     s = F.trim(c)
     n = F.when(s.rlike(r"^\d{1,18}$"), s.try_cast("bigint"))
+    n = F.when(n <= 9_000_000_000_000_000, n)  # more milliseconds are no timestamp
     return F.when(n.isNotNull(), F.when(n < 100_000_000_000, F.timestamp_seconds(n)).otherwise(F.timestamp_millis(n))).when(s.rlike(r"^\d{4}-\d{2}-\d{2}"), s.try_cast("timestamp"))
 
 

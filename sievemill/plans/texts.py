@@ -89,6 +89,12 @@ def f10_iso_instant(jobs: DataFrame) -> DataFrame:
     return jobs.select("published").where(F.col("published").rlike(r"^\d{1,14}$")).distinct().select("published", F.unix_micros(dates.iso_instant(F.col("published"))).alias("epoch_us"))
 
 
+@query("jobs")
+def f10_iso_instant_whole(jobs: DataFrame) -> DataFrame:
+    """Every published value: ISO text and counts; what is neither gives null."""
+    return jobs.select("published").distinct().select("published", F.unix_micros(dates.iso_instant(F.col("published"))).alias("epoch_us"))
+
+
 @query("jobs", sql=r"""
 SELECT DISTINCT id, CASE WHEN contains(lower(published), 'today') THEN checked WHEN contains(lower(published), 'yesterday') THEN checked - INTERVAL 1 DAY
   ELSE checked - to_days(CAST(regexp_extract(lower(published), '(\d+)\+?\s*days?', 1) AS INT)) END AS at

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta
+import re
+from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 
 from sievemill.plans.registry import QUERIES
+from tests.conftest import SMALL
 
 
 def test_range_join_takes_all_orders(spark, tmp_path):
@@ -43,3 +45,30 @@ def test_replay_takes_every_posting(spark, tmp_path):
     got = {r["kind"]: (r["failed"], r["n"], r["without_feed"]) for r in QUERIES["s01_replay_whole"](spark, str(tmp_path)).collect()}
     want = {k: (1, have.get(k, 0), 0) for k in FEEDS} | {s: (0, 0, have[s]) for s in ("careerpage", None)}
     assert got == want
+
+
+def _instant(text):
+    """Microseconds since 1970 by Python, and whether it can tell."""
+    s = (text or "").strip()
+    epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
+    if re.fullmatch(r"\d{1,18}", s):
+        n = int(s)
+        return (n * 1_000_000 if n < 100_000_000_000 else n * 1000) if n <= 9 * 10**15 else None, True
+    if not re.match(r"\d{4}-\d{2}-\d{2}", s):
+        return None, True
+    try:
+        at = datetime.fromisoformat(s)
+    except ValueError:
+        return None, bool(re.fullmatch(r"[\d-]{10}([T ][\d:.]+)?", s))  # names of zones are Spark's own
+    return ((at if at.tzinfo else at.replace(tzinfo=timezone.utc)) - epoch) // timedelta(microseconds=1), True
+
+
+def test_instants_of_all_published_values(spark, tmp_path):
+    stored = {x for (x,) in spark.read.parquet(f"{SMALL}/jobs.parquet").select("published").distinct().collect()}
+    values = stored | {"2025-10-25T15:38:37.744Z", "2025-03-19 13:46:54-0700", "2025-05-25T22:50:45+05:30", "2024-03-10 00:19", "2025-02-30", "123456789012345678", "1725455388", "n/a", None}
+    pq.write_table(pa.table({"published": pa.array(sorted(values, key=str), pa.string())}), tmp_path / "jobs.parquet")
+    got = {r["published"]: r["epoch_us"] for r in QUERIES["f10_iso_instant_whole"](spark, str(tmp_path)).collect()}
+    assert got.keys() == values
+    want = {v: _instant(v) for v in values}
+    assert {v: got[v] for v in values if want[v][1]} == {v: at for v, (at, told) in want.items() if told}
+    assert sum(at is not None and "-" in (v or "") for v, at in got.items()) > 20
