@@ -122,23 +122,34 @@ def t02_stream_sweeps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def t09_stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
-    """State by id with a time to live: the first check is frozen, ids not checked for 36 hours leave."""
+    """State by id with a time to live: the first check is frozen, ids not checked for 36 hours leave.
+
+    The files of a table may come in any order, so the lateness is the span of the checks."""
     out = _folder(spark)
-    table(spark, d, "sweep_jobs")
-    sweeps.write_batches(sweeps.first_seen(sweeps.stream_of(spark, f"{d}/sweep_jobs.parquet"), hours=snapshot_merge.KEEP_HOURS), f"{out}/rows", f"{out}/state")
+    ends = table(spark, d, "sweep_jobs").agg(F.min(F.unix_seconds("checked")).alias("a"), F.max(F.unix_seconds("checked")).alias("b")).first()
+    late = f"{ends['b'] - ends['a'] + 1 if ends['a'] is not None else 0} seconds"
+    sweeps.write_batches(sweeps.first_seen(sweeps.stream_of(spark, f"{d}/sweep_jobs.parquet"), hours=snapshot_merge.KEEP_HOURS, late=late), f"{out}/rows", f"{out}/state")
     rows = spark.read.parquet(f"{out}/rows")
     return rows.groupBy("id").agg(F.min("firstseen").alias("firstseen"), F.max("checked").alias("checked"))
 
 
-def t12_stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling windows of event time; with append output only closed windows come out."""
+def t12_stream_windows_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling windows of event time, those open at the end included. The files of a table may come in any
+    order, so no row is late: each batch gives the windows it changed, whose last count is their greatest."""
     out = _folder(spark)
     table(spark, d, "events")
-    sweeps.write_batches(sweeps.windowed_counts(sweeps.stream_of(spark, f"{d}/events.parquet"), "ts", "event_type", "1 hour", "1 day"), f"{out}/rows", f"{out}/state")
-    return spark.read.parquet(f"{out}/rows").select("window_start", "event_type", "n")
+    sweeps.write_batches(sweeps.windowed_counts(sweeps.stream_of(spark, f"{d}/events.parquet"), "ts", "event_type", None, "1 day"), f"{out}/rows", f"{out}/state", "update")
+    return spark.read.parquet(f"{out}/rows").groupBy("window_start", "event_type").agg(F.max("n").alias("n"))
+
+
+def t12_stream_windows(spark: SparkSession, d: str) -> DataFrame:
+    """The windows that an hour of lateness has closed at the end, as this report's SQL has it."""
+    last = table(spark, d, "events").agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("closed"))
+    windows = t12_stream_windows_whole(spark, d).join(F.broadcast(last), F.col("window_start") + F.expr("INTERVAL 1 DAY") <= F.col("closed"))
+    return windows.select("window_start", "event_type", "n")
 
 
-for _f in (k02_snapshot, k07_rescored, t02_stream_sweeps, t09_stream_first_seen, t12_stream_windows):
+for _f in (k02_snapshot, k07_rescored, t02_stream_sweeps, t09_stream_first_seen, t12_stream_windows, t12_stream_windows_whole):
     QUERIES[_f.__name__] = _f
 
 from sievemill.plans.registry import SQL  # noqa: E402
@@ -149,3 +160,4 @@ SQL["t02_stream_sweeps"] = "SELECT sweep_no, count(*) AS n, count(DISTINCT id) A
 SQL["t09_stream_first_seen"] = "SELECT id, min(checked) AS firstseen, max(checked) AS checked FROM sweep_jobs WHERE id IS NOT NULL GROUP BY id"
 # Append output holds back the windows that the watermark has not closed: those that end after the last event less an hour.
 SQL["t12_stream_windows"] = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY ALL"
+SQL["t12_stream_windows_whole"] = "SELECT date_trunc('day', ts) AS window_start, event_type, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY ALL"

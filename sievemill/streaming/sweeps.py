@@ -38,11 +38,12 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint, mode)
 
 
-def first_seen(stream: DataFrame, *, hours: int) -> DataFrame:
+def first_seen(stream: DataFrame, *, hours: int, late: str = "0 seconds") -> DataFrame:
     """(id, firstseen, checked, stale): put-if-absent of ``firstseen`` by id, and rows whose board was not
     seen for ``hours`` (event time) leave as stale.
 
-    State: the first instant seen and the last check of each id, dropped when the watermark passes it.
+    State: the first instant seen and the last check of each id, dropped when the watermark passes it. Rows
+    later than ``late`` are dropped; a row within it may bring the first instant forward.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -54,19 +55,20 @@ def first_seen(stream: DataFrame, *, hours: int) -> DataFrame:
         first, last = state.get if state.exists else (None, None)
         for pdf in batches:
             at = pdf["checked"].astype("datetime64[us]").astype("int64")
-            first = int(at.min()) if first is None else first
+            first = int(at.min()) if first is None else min(first, int(at.min()))
             last = max(int(at.max()), last or 0)
         state.update((first, last))
         state.setTimeoutTimestamp(last // 1000 + hours * 3_600_000)
         yield pd.DataFrame({"id": [key[0]], "firstseen": [pd.Timestamp(first, unit="us")], "checked": [pd.Timestamp(last, unit="us")], "stale": [False]})
 
-    timed = stream.where("id is not null and checked is not null").select("id", "checked").withWatermark("checked", "0 seconds")
+    timed = stream.where("id is not null and checked is not null").select("id", "checked").withWatermark("checked", late)
     return timed.groupBy("id").applyInPandasWithState(update, "id string, firstseen timestamp, checked timestamp, stale boolean", "first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def windowed_counts(stream: DataFrame, at: str, by: str, late: str, window: str, slide: str | None = None) -> DataFrame:
-    """Counts by tumbling or sliding windows of event time; rows later than ``late`` are dropped."""
-    return stream.withWatermark(at, late).groupBy(F.window(at, window, slide or window).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
+def windowed_counts(stream: DataFrame, at: str, by: str, late: str | None, window: str, slide: str | None = None) -> DataFrame:
+    """Counts by tumbling or sliding windows of event time; rows later than ``late`` are dropped, none where it is None."""
+    timed = stream.withWatermark(at, late) if late else stream
+    return timed.groupBy(F.window(at, window, slide or window).alias("w"), by).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("window_start"), by, "n")
 
 
 def sessions(stream: DataFrame, at: str, by: str, late: str, gap: str) -> DataFrame:

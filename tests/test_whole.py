@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pyarrow as pa
@@ -72,3 +74,24 @@ def test_instants_of_all_published_values(spark, tmp_path):
     want = {v: _instant(v) for v in values}
     assert {v: got[v] for v in values if want[v][1]} == {v: at for v, (at, told) in want.items() if told}
     assert sum(at is not None and "-" in (v or "") for v, at in got.items()) > 20
+
+
+def _split(folder, name, rows):
+    """Rows as files of one row each, delivered in this order."""
+    os.makedirs(folder / f"{name}.parquet")
+    for i, row in enumerate(rows):
+        path = folder / f"{name}.parquet" / f"part-{i}.parquet"
+        pq.write_table(pa.Table.from_pylist([row]), path)
+        os.utime(path, (1_700_000_000 + 10 * i,) * 2)
+
+
+def test_streams_of_several_files_in_any_order(spark, tmp_path):
+    day = datetime(2024, 1, 1, 12)
+    order = [9, 2, 5, 2, 9]
+    _split(tmp_path, "events", [{"event_id": i, "ts": day + timedelta(days=k), "event_type": "view"} for i, k in enumerate(order)])
+    _split(tmp_path, "sweep_jobs", [{"id": "a" if k != 5 else "b", "checked": day + timedelta(days=k)} for k in order])
+    want = {(datetime(2024, 1, 1) + timedelta(days=k), "view", n) for k, n in Counter(order).items()}
+    assert {tuple(r) for r in QUERIES["t12_stream_windows_whole"](spark, str(tmp_path)).collect()} == want
+    assert {tuple(r) for r in QUERIES["t12_stream_windows"](spark, str(tmp_path)).collect()} == {w for w in want if w[0].day != 10}
+    at = {(r["id"], r["firstseen"], r["checked"]) for r in QUERIES["t09_stream_first_seen"](spark, str(tmp_path)).collect()}
+    assert at == {("a", day + timedelta(days=2), day + timedelta(days=9)), ("b", day + timedelta(days=5), day + timedelta(days=5))}
