@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ def local_session(app: str = "sievemill", cores: str = "*", shuffle: int = 8) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SIEVEMILL_DRIVER_MEMORY", "12g"))
         .getOrCreate()
@@ -45,7 +47,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder; the files survive the loss of any executor."""
+    """Cut the lineage through the shared folder; the files survive the loss of any executor. With
+    spark.cleaner.referenceTracking.cleanCheckpoints they leave once nothing refers to them."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -68,6 +71,12 @@ def ship(spark: SparkSession) -> None:
     context._sievemill_shipped = True
 
 
+def map_batches(df: DataFrame, function: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
+    """``mapInPandas`` with the package at hand in the workers, whatever the rows were read with."""
+    ship(df.sparkSession)
+    return df.mapInPandas(function, schema)
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """One of the Parquet tables. The engine works in UTC: the session is pinned to it and timestamps
     stored without a zone are read as UTC instants."""
