@@ -9,7 +9,7 @@ from sievemill.llm.mix import mixed, mixture_report
 from sievemill.llm.names import spelling_pairs
 from sievemill.llm.places import posting_places
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
-from sievemill.llm.reposts import openings, repost_pairs
+from sievemill.llm.reposts import linked_openings, repost_pairs
 from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_records
 from sievemill.operators.units import pay_per_year
 from sievemill.session import table
@@ -20,7 +20,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_openings(spark: SparkSession, d: str) -> DataFrame:
-    return openings(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
+    return linked_openings(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
