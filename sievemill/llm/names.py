@@ -13,23 +13,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievemill.operators.components import connected_components
-from sievemill.session import cut
+from sievemill.operators.skew import salted_join
+from sievemill.session import cut, map_batches
 
 #: Suffixes shorter than this are not indexed; of the beginnings of a word those of this length and one more.
 SUFFIX = 3
 #: Suffixes longer than this are not indexed either, as their names meet under the shorter ones.
 LONGEST = 12
-#: A suffix shared by more names than this is refined by the other fields.
+#: A key that more than one in so many of the index rows hold is spread over tasks.
 COMMON = 64
 #: Least ratio of the longest common subsequence, of each word and of all words together.
 WORD_RATIO, NAME_RATIO = 0.7, 0.82
-#: A last word is a line of business if it ends at least this share of the names, and this many.
-TAIL_SHARE, TAIL_COUNT = 0.005, 5
+#: A last word is a line of business if it ends at least this share of the names, this many in number, after
+#: as many different first words, and stands last in at least this share of the names that hold it.
+TAIL_SHARE, TAIL_COUNT, TAIL_LAST = 0.005, 5, 0.8
+#: Letters are counted in so many slots for a bound of what two names share, up to three a slot.
+SLOTS = 21
 
 #: Names of up to so many words are compared in every order, longer ones by an assignment.
 FEW = 5
 
-# Words without weight, legal forms, lines of business, and short forms of first names.
+# Words without weight, legal forms, lines of business for those who know them beforehand (the
+# queries of this package learn them from the names), and short forms of first names.
 NOISE = frozenset("the and und et y of for a an der die das la le el".split())
 LEGAL = frozenset(
     "ltd limited llc llp lp inc incorporated gmbh ag sa sas sarl srl spa bv nv ab as oy plc corp corporation co company pty pte kg ug se kk "
@@ -60,15 +65,20 @@ def _first_names() -> dict[str, frozenset[str]]:
     return {k: frozenset(v) for k, v in out.items()}
 
 
+# Letters that no decomposition turns into plain ones.
+_STROKES = str.maketrans({"ł": "l", "Ł": "L", "ø": "o", "Ø": "O", "đ": "d", "Đ": "D", "ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "þ": "th", "Þ": "Th", "ð": "d", "ı": "i"})
+
+
 def tokens_of(name: str) -> list[str]:
-    """Words of a name without accents, case, legal forms and words without weight; joined words split
-    where the case changes. A comma puts what stands before it last."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", name) if not unicodedata.combining(c))
+    """Words of a name, of letters and digits of any script, without accents, case, legal forms and words
+    without weight; joined words split where the case changes. A comma puts what stands before it last."""
+    bare = "".join(c for c in unicodedata.normalize("NFKD", name) if not unicodedata.combining(c))
+    plain = unicodedata.normalize("NFC", bare).translate(_STROKES)
     plain = re.sub(r"\b(?:[A-Za-z]\.){2,}", lambda m: m.group().replace(".", ""), plain)
     plain = re.sub(r"(?<=[a-z])(?=[A-Z][a-z]{2})", " ", plain).lower()
     plain = re.sub(r"(?<=\w)['’](?=\w)", "", plain)
     head, comma, rest = plain.partition(",")
-    words = re.findall(r"[a-z0-9]+", f"{rest} {head}" if comma and rest.strip() else plain)
+    words = re.findall(r"[^\W_]+", f"{rest} {head}" if comma and rest.strip() else plain)
     kept = [w for w in words if w not in NOISE and w not in LEGAL]
     return kept or words
 
@@ -215,39 +225,85 @@ def same_organisation(a: Sequence[str], b: Sequence[str]) -> str | None:
     return None
 
 
+def _letters(tokens: Sequence[str]) -> tuple[int, int, int]:
+    """Letters of words as bits, up to three a slot; the number of those beyond, and of all."""
+    counts, total = [0] * SLOTS, 0
+    for t in tokens:
+        for c in t:
+            counts[ord(c) % SLOTS] += 1
+        total += len(t)
+    bits = sum((1 << min(n, 3)) - 1 << 3 * i for i, n in enumerate(counts))
+    return bits, sum(max(n - 3, 0) for n in counts), total
+
+
 def _parsed(names: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             tokens = [tokens_of(c) for c in pdf["company"]]
             yield pd.DataFrame({"company": pdf["company"], "tokens": tokens})
 
-    return names.mapInPandas(parse, "company string, tokens array<string>").where(F.size("tokens") > 0)
+    return map_batches(names, parse, "company string, tokens array<string>").where(F.size("tokens") > 0)
 
 
 def _tails(parsed: DataFrame) -> frozenset[str]:
-    """The lines of business the names themselves show: the known ones among them, and common last words,
-    of which there are at most 1 / TAIL_SHARE."""
+    """The lines of business the names themselves show: words that end many names, after many different
+    first words, and hardly stand elsewhere; at most 1 / TAIL_SHARE. A shortened form of a commoner one is none."""
     words = parsed.select(F.get("tokens", F.lit(0)).alias("head"), F.size("tokens").alias("n"), F.posexplode("tokens").alias("pos", "w"))
-    last = (F.col("n") > 2) & (F.col("pos") == F.col("n") - 1)
-    counted = words.groupBy("w").agg(F.count_if(last).alias("n"), F.count_distinct(F.when(last, F.col("head"))).alias("heads"))
-    common = (F.col("n") >= TAIL_SHARE * parsed.count()) & (F.col("n") >= TAIL_COUNT) & (F.col("heads") >= TAIL_COUNT) & (F.length("w") >= 5)
-    return frozenset(r["w"] for r in counted.where(common | F.col("w").isin(*sorted(LINES))).select("w").collect()) or LINES
+    last = (F.col("n") > 1) & (F.col("pos") == F.col("n") - 1)
+    counted = words.groupBy("w").agg(F.count_if(last).alias("n"), F.count(F.lit(1)).alias("all"), F.count_distinct(F.when(last, F.col("head"))).alias("heads"))
+    common = (F.col("n") >= TAIL_SHARE * parsed.count()) & (F.col("n") >= TAIL_COUNT) & (F.col("heads") >= TAIL_COUNT) & (F.col("n") >= TAIL_LAST * F.col("all")) & (F.length("w") >= 4)
+    found = sorted(counted.where(common).select("w", "n").collect(), key=lambda r: (-r["n"], r["w"]))
+    lines: list[str] = []
+    for r in found:
+        if not any(len(r["w"]) < len(w) and r["w"][0] == w[0] and _subsequence(r["w"], w) for w in lines):
+            lines.append(r["w"])
+    return frozenset(lines)
+
+
+#: What a row of the index carries to bound a pair: letters of all words, and of those that are no first names.
+_BOUNDS = ("all_bits", "all_over", "all_n", "core_bits", "core_over", "core_n", "open")
 
 
 def _resolved(parsed: DataFrame, lines: frozenset[str]) -> DataFrame:
+    """Line of business and other words of each name, with the bounds of its letters. ``open`` marks names
+    that no bound holds for: single letters stand for words, or several first names may be missing."""
+
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        first = _first_names()
         for pdf in batches:
             found = [line_of_business(list(t), lines) for t in pdf["tokens"]]
-            yield pd.DataFrame({"company": pdf["company"], "line": [f[0] for f in found], "core": [f[1] for f in found]})
+            rows = []
+            for company, (line, core) in zip(pdf["company"], found, strict=True):
+                given = sum(t in first for t in core)
+                rows.append((company, line, core, *_letters(core), *_letters([t for t in core if t not in first]), given > 1 or any(len(t) == 1 for t in core)))
+            yield pd.DataFrame(rows, columns=["company", "line", "core", *_BOUNDS])
+
+    kinds = ", ".join(f"{c} {'boolean' if c == 'open' else 'bigint'}" for c in _BOUNDS)
+    return map_batches(parsed, resolve, f"company string, line string, core array<string>, {kinds}")
 
-    return parsed.mapInPandas(resolve, "company string, line string, core array<string>")
+
+def _may_match() -> Column:
+    """Whether two names share letters enough for the least ratio, with or without their first names."""
+
+    def shares(x: str, y: str) -> Column:
+        common = F.bit_count(F.col(f"{x}_bits_a").bitwiseAND(F.col(f"{y}_bits_b"))) + F.least(f"{x}_over_a", f"{y}_over_b")
+        return 2 * common >= (NAME_RATIO - 1e-9) * (F.col(f"{x}_n_a") + F.col(f"{y}_n_b"))
+
+    return F.col("open_a") | F.col("open_b") | shares("all", "all") | shares("core", "core") | shares("all", "core") | shares("core", "all")
 
 
 def _candidates(names: DataFrame) -> DataFrame:
-    """Pairs of names that share a suffix of a word and do not differ in the line of business. A common suffix
-    is refined and loses no pair: names with a line meet those of the same line, and names without one meet all."""
+    """Pairs of names that share a suffix of a word, or all words, and do not differ in the line of business.
+
+    Every suffix is refined by the line, which loses no pair: names with a line meet those of the same line,
+    and names without one meet all. Where the letters of both are known, pairs that share too few of them
+    are left out where they meet. Only ids and letters are shuffled until then.
+    """
+    numbered = cut(names.withColumn("nid", F.monotonically_increasing_id()))
+    bounds = [c for c in _BOUNDS if c in names.columns]
     long = F.filter("core", lambda t: F.length(t) >= SUFFIX)
-    word = names.select("company", "line", "core", F.explode(F.array_distinct(long)).alias("word"))
+    lean = numbered.select("nid", "line", *bounds, F.concat(F.lit("="), F.array_join(F.array_sort("core"), " ")).alias("whole"), long.alias("long"))
+    word = lean.select("nid", "line", *bounds, "whole", F.explode_outer(F.array_distinct("long")).alias("word"))
     plain = F.regexp_replace("word", r"(.)\1", "$1")  # a doubled letter is the commonest slip
     n, inner = F.length(plain), SUFFIX + 1
     # What shares a longer suffix shares these too.
@@ -255,25 +311,27 @@ def _candidates(names: DataFrame) -> DataFrame:
     # Slips near the end of every word hide all suffixes; those of the word's beginnings remain.
     each = F.transform(F.sequence(F.lit(1), n - inner), lambda k: F.substring(plain, k, F.lit(inner)))
     starts = F.when(n <= inner, F.array().cast("array<string>")).when(n <= 512, each).otherwise(F.regexp_extract_all(plain, F.lit(rf"(?=(.{{{inner}}}))"), 1))
-    suffix = cut(word.select("company", "line", "core", F.explode(F.array_union(ends, starts)).alias("suffix")).distinct())
-    sizes = suffix.groupBy("suffix").agg(F.count(F.lit(1)).alias("n"))
+    # Words too short for a suffix meet in the name as a whole.
+    keys = F.when(F.col("word").isNull(), F.array("whole")).otherwise(F.array_union(F.array_union(ends, starts), F.array("whole")))
+    suffix = word.select("nid", "line", *bounds, F.explode(keys).alias("suffix"))
     bare = F.col("line") == ""
     by_line = F.when(~bare, F.concat_ws("|", F.col("suffix"), F.lit("line"), F.col("line")))
     to_all = F.concat_ws("|", F.col("suffix"), F.lit("all"))
-    sized = suffix.join(sizes, "suffix")
 
     def keyed(side: str, *common: Column) -> DataFrame:
-        keys = F.when(F.col("n") <= COMMON, F.array("suffix")).otherwise(F.array_compact(F.array(*common)))
-        named = [F.col(c).alias(f"{c}_{side}") for c in ("company", "line", "core")]
-        return sized.select(F.explode(keys).alias("key"), *named)
+        named = [F.col(c).alias(f"{c}_{side}") for c in ("nid", *bounds)]
+        return suffix.select(F.explode(F.array_compact(F.array(*common))).alias("key"), *named)
 
-    both = keyed("a", by_line, F.when(bare, to_all)).join(keyed("b", by_line, to_all), "key")
+    both = salted_join(keyed("a", by_line, F.when(bare, to_all)), keyed("b", by_line, to_all), "key", spread_by="nid_a", one_in=COMMON)
     # Only the keys of all are not the same on both sides, so their pairs may come in the other order.
-    ordered = F.col("company_a") < F.col("company_b")
-    one_way = F.endswith("key", F.lit("|all")) & (F.col("company_a") != F.col("company_b"))
-    fits = (ordered | one_way) & ((F.col("line_a") == F.col("line_b")) | (F.col("line_a") == "") | (F.col("line_b") == ""))
-    turned = [F.when(ordered, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("company", "line", "core")]
-    return both.where(fits).select(*turned).distinct()
+    ordered = F.col("nid_a") < F.col("nid_b")
+    one_way = F.endswith("key", F.lit("|all")) & (F.col("nid_a") != F.col("nid_b"))
+    fits = both.where((ordered | one_way) & (_may_match() if bounds else F.lit(True)))
+    pairs = fits.select(F.least("nid_a", "nid_b").alias("nid_a"), F.greatest("nid_a", "nid_b").alias("nid_b")).distinct()
+    side = lambda s: numbered.select(*[F.col(c).alias(f"{c}_{s}") for c in ("nid", "company", "line", "core")])
+    told = pairs.join(side("a"), "nid_a").join(side("b"), "nid_b")
+    a_first = F.col("company_a") < F.col("company_b")
+    return told.select(*[F.when(a_first, F.col(f"{c}_{x}")).otherwise(F.col(f"{c}_{y}")).alias(f"{c}_{x}") for x, y in ("ab", "ba") for c in ("company", "line", "core")])
 
 
 def _judged(pairs: DataFrame) -> DataFrame:
@@ -282,21 +340,20 @@ def _judged(pairs: DataFrame) -> DataFrame:
             kinds = [same_organisation(list(a), list(b)) for a, b in zip(pdf["core_a"], pdf["core_b"], strict=True)]
             yield pdf[["company_a", "company_b", "line_a", "line_b"]].assign(kind=kinds)
 
-    return pairs.mapInPandas(judge, "company_a string, company_b string, line_a string, line_b string, kind string").where("kind is not null")
+    return map_batches(pairs, judge, "company_a string, company_b string, line_a string, line_b string, kind string").where("kind is not null")
 
 
-def organisations(names: DataFrame, *, column: str = "company") -> DataFrame:
+def organisations(names: DataFrame, *, column: str = "company", lines: frozenset[str] = LINES) -> DataFrame:
     """(company, organisation): every distinct spelling with one that stands for its organisation.
 
-    Names are parsed, blocked by the suffixes of their words and compared by the ratio of their longest
+    ``lines`` are lines of business known beforehand, beside those that the names show. Names are parsed, blocked by the suffixes of their words and compared by the ratio of their longest
     common subsequences. Names of different lines of business are different. A name that lacks the line,
     or has a single letter for a word, is linked only where it fits one organisation. Null and blank names
     are left out; a name without letters or digits is linked to nothing.
     """
     distinct = names.select(F.col(column).alias("company")).where(F.trim("company") != "").distinct()
     parsed = cut(_parsed(distinct))
-    lines = _tails(parsed)
-    known = cut(_resolved(parsed, lines))
+    known = cut(_resolved(parsed, lines | _tails(parsed)))
     judged = cut(_judged(_candidates(known)))
     weak = (F.col("line_a") != F.col("line_b")) | (F.col("kind") == "initial")
     strong = judged.where(~weak)
@@ -325,9 +382,15 @@ def organisations(names: DataFrame, *, column: str = "company") -> DataFrame:
     return labelled.join(ends, "part", "left").select("company", F.coalesce("to_part", "part").alias("organisation"))
 
 
-def spelling_pairs(boards: DataFrame, jobs: DataFrame) -> DataFrame:
+def spelling_classes(boards: DataFrame, jobs: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
+    """(company, organisation, spellings): each stored spelling once, the smallest one of its organisation, and their number."""
+    known = cut(organisations(boards.select("company").unionByName(jobs.select("company")), lines=lines))
+    heads = known.groupBy("organisation").agg(F.min("company").alias("head"), F.count(F.lit(1)).alias("spellings"))
+    return known.join(heads, "organisation").select("company", F.col("head").alias("organisation"), "spellings")
+
+
+def spelling_pairs(boards: DataFrame, jobs: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
     """(company_a, company_b): two stored spellings of one organisation, the smaller first."""
-    known = organisations(boards.select("company").unionByName(jobs.select("company")))
-    known = cut(known)
+    known = cut(organisations(boards.select("company").unionByName(jobs.select("company")), lines=lines))
     one, two = known.withColumnRenamed("company", "company_a"), known.withColumnRenamed("company", "company_b")
     return one.join(two, "organisation").where("company_a < company_b").select("company_a", "company_b")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm.leak import leaked_passages
 from sievemill.llm.mix import mixed, mixture_report
-from sievemill.llm.names import spelling_pairs
+from sievemill.llm.names import spelling_classes, spelling_pairs
 from sievemill.llm.places import posting_places
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
 from sievemill.llm.reposts import linked_openings, repost_pairs
@@ -14,13 +14,16 @@ from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_reco
 from sievemill.operators.units import pay_per_year
 from sievemill.session import table
 
+#: No line of business is known beforehand: the names show them.
+LEARNT: frozenset[str] = frozenset()
+
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return repost_pairs(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
+    return repost_pairs(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"), lines=LEARNT)
 
 
 def p7_openings(spark: SparkSession, d: str) -> DataFrame:
-    return linked_openings(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"))
+    return linked_openings(table(spark, d, "jobs"), table(spark, d, "boards"), table(spark, d, "places"), lines=LEARNT)
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
@@ -62,14 +65,18 @@ def p5_golden(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return spelling_pairs(table(spark, d, "boards"), table(spark, d, "jobs"))
+    return spelling_pairs(table(spark, d, "boards"), table(spark, d, "jobs"), lines=LEARNT)
+
+
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    return spelling_classes(table(spark, d, "boards"), table(spark, d, "jobs"), lines=LEARNT)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return posting_places(table(spark, d, "jobs"), table(spark, d, "places"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p7_found, p7_openings, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p6_classes, p7_found, p7_openings, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
 SQL: dict[str, str] = {
     "p5_groups": r"""
 WITH RECURSIVE e AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from sievemill.llm.names import organisations
+from sievemill.llm.names import LINES, organisations
 from sievemill.llm.places import named_places
 from sievemill.operators.components import connected_components
 from sievemill.operators.skew import salted_join
@@ -99,21 +99,21 @@ def alike_classes(classes: DataFrame, *, alike: float = ALIKE, k: int = K) -> Da
     near = side(left, "a").join(side(right, "b"), ["value", "part"]).where(sized & enough).select("t_a", "t_b").distinct()
     # A sketch is kept where it is less than the text.
     sketch = F.when(n > k, F.slice("hashes", 1, k))
-    known = lambda s: base.select(*[c.alias(f"{name}_{s}") for name, c in {"t": F.col("t"), "block": F.col("block"), "text": F.col("text"), "tag": F.col("tag"), "sketch": sketch}.items()])
+    known = lambda s: base.select(*[c.alias(f"{name}_{s}") for name, c in {"t": F.col("t"), "block": F.col("block"), "text": F.col("text"), "tag": F.col("tag"), "n": n, "sketch": sketch}.items()])
     pairs = near.join(known("a"), "t_a").join(known("b"), "t_b").withColumnRenamed("block_a", "block")
     whole = lambda s: F.coalesce(f"sketch_{s}", F.sort_array(F.transform(pieces(F.col(f"text_{s}")), lambda p: F.xxhash64(p))))
     union = F.slice(F.sort_array(F.array_union(whole("a"), whole("b"))), 1, k)
     estimate = F.size(F.array_intersect(F.array_intersect(whole("a"), whole("b")), union)) / F.size(union)
     likely = F.col("sketch_a").isNull() & F.col("sketch_b").isNull() | (estimate >= alike - MARGIN)
-    a, b = pieces(F.col("text_a")), pieces(F.col("text_b"))
-    counted = pairs.where(likely).withColumn("both", F.size(F.array_intersect(a, b))).withColumn("either", F.size(a) + F.size(b) - F.col("both"))
-    return counted.where(F.col("both") >= (alike - 1e-12) * F.col("either")).select("block", "text_a", "text_b", "tag_a", "tag_b")
+    # Each side is cut into pieces once: both / (n_a + n_b - both) >= alike, solved for both.
+    both = F.size(F.array_intersect(pieces(F.col("text_a")), pieces(F.col("text_b"))))
+    return pairs.where(likely & (both * (1 + alike) >= (F.col("n_a") + F.col("n_b")) * alike - 1e-9)).select("block", "text_a", "text_b", "tag_a", "tag_b")
 
 
-def _linked(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _linked(jobs: DataFrame, boards: DataFrame, places: DataFrame, lines: frozenset[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, block, title) of all usable postings, where a block is an organisation at a place; their classes
     (block, text, tag); and the links (tag_a, tag_b) of alike classes."""
-    known = organisations(boards.select("company").unionByName(jobs.select("company")))
+    known = organisations(boards.select("company").unionByName(jobs.select("company")), lines=lines)
     rows = jobs.select("id", "company", "location", plain_title(F.col("title")).alias("title")).where("id is not null and company is not null and location is not null and title <> ''")
     located = named_places(jobs, places)
     whole = salted_join(salted_join(rows, known, "company", spread_by="id"), located, "location", spread_by="id")
@@ -130,7 +130,7 @@ def _components(members: DataFrame, classes: DataFrame, links: DataFrame) -> Dat
     return connected_components(copies.unionByName(links.select(F.col("tag_a").alias("a"), F.col("tag_b").alias("b")))).select(F.col("node").alias("id"), F.col("component").alias("opening"))
 
 
-def openings(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> DataFrame:
+def openings(jobs: DataFrame, boards: DataFrame, places: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
     """(id, opening): ids of one opening share ``opening``, the smallest of them; only ids that have another.
 
     Two ids are of one opening if organisation and a place agree (the location text where no listed place
@@ -138,13 +138,13 @@ def openings(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> DataFrame
     locations and blank titles match nothing; titles too short for a piece match their equals. Ids of one
     organisation, place and plain title meet through the smallest of them, so copies cost one edge each.
     """
-    return _components(*_linked(jobs, boards, places))
+    return _components(*_linked(jobs, boards, places, lines))
 
 
-def linked_openings(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> DataFrame:
+def linked_openings(jobs: DataFrame, boards: DataFrame, places: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
     """(id, opening, links): as ``openings``, with the number of other postings each is alike to directly; a
     posting at two common places counts for each."""
-    members, classes, links = _linked(jobs, boards, places)
+    members, classes, links = _linked(jobs, boards, places, lines)
     links = cut(links)
     sizes = members.distinct().groupBy("block", F.col("title").alias("text")).agg(F.count(F.lit(1)).alias("n"))
     both = links.select("block", F.col("text_a").alias("text"), F.col("text_b").alias("other")).unionByName(links.select("block", F.col("text_b").alias("text"), F.col("text_a").alias("other")))
@@ -154,7 +154,7 @@ def linked_openings(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> Da
     return _components(members, classes, links).join(counted, "id")
 
 
-def repost_pairs(jobs: DataFrame, boards: DataFrame, places: DataFrame) -> DataFrame:
+def repost_pairs(jobs: DataFrame, boards: DataFrame, places: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
     """(id_a, id_b): every two different ids of one opening, the smaller first."""
-    found = openings(jobs, boards, places)
+    found = openings(jobs, boards, places, lines=lines)
     return found.select(F.col("id").alias("id_a"), "opening").join(found.select(F.col("id").alias("id_b"), "opening"), "opening").where("id_a < id_b").select("id_a", "id_b")
