@@ -20,7 +20,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     nothing; repeated edges count once; no edges give no rows.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    ways = F.explode_outer(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))  # one reading of the edges for both ways
+    both = cut(pairs.select(ways.alias("e")).select("e.*").distinct())
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.least(F.first("u"), F.min("v")).alias("component")))
     rounds = 0
     while True:
