@@ -313,14 +313,14 @@ def _candidates(names: DataFrame) -> DataFrame:
     starts = F.when(n <= inner, F.array().cast("array<string>")).when(n <= 512, each).otherwise(F.regexp_extract_all(plain, F.lit(rf"(?=(.{{{inner}}}))"), 1))
     # Words too short for a suffix meet in the name as a whole.
     keys = F.when(F.col("word").isNull(), F.array("whole")).otherwise(F.array_union(F.array_union(ends, starts), F.array("whole")))
-    suffix = word.select("nid", "line", *bounds, F.explode(keys).alias("suffix"))
+    suffix = word.select("nid", "line", *bounds, F.explode_outer(keys).alias("suffix"))
     bare = F.col("line") == ""
     by_line = F.when(~bare, F.concat_ws("|", F.col("suffix"), F.lit("line"), F.col("line")))
     to_all = F.concat_ws("|", F.col("suffix"), F.lit("all"))
 
     def keyed(side: str, *common: Column) -> DataFrame:
         named = [F.col(c).alias(f"{c}_{side}") for c in ("nid", *bounds)]
-        return suffix.select(F.explode(F.array_compact(F.array(*common))).alias("key"), *named)
+        return suffix.select(F.explode_outer(F.array_compact(F.array(*common))).alias("key"), *named)
 
     both = salted_join(keyed("a", by_line, F.when(bare, to_all)), keyed("b", by_line, to_all), "key", spread_by="nid_a", one_in=COMMON)
     # Only the keys of all are not the same on both sides, so their pairs may come in the other order.

@@ -61,7 +61,8 @@ def _without(words: DataFrame, column: str) -> DataFrame:
     first = F.array_distinct(F.concat(F.array(column), one(F.col(column))))
     step = words.withColumn("__one", first)
     two = F.array_distinct(F.flatten(F.transform("__one", lambda w: F.concat(F.array(w), one(w)))))
-    return step.withColumn("form", F.explode(two)).drop("__one")
+    # No array is empty; the outer form keeps the optimizer from computing it once more for a test of its length.
+    return step.withColumn("form", F.explode_outer(two)).drop("__one")
 
 
 def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -133,7 +134,7 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     split = loc.select("lid", one_case.alias("one_case"), raw.alias("raw")).where(F.size("raw") > 0)
     starts = F.sequence(F.lit(0), F.size("raw") - 1)
     here = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.size("raw") - i)), lambda k: F.struct(F.array_join(F.slice("raw", i + 1, k), " ").alias("gram"), (i >= F.size("raw") - 1).alias("last")))
-    grams = split.select("lid", "one_case", F.explode(F.flatten(F.transform(starts, here))).alias("g")).select("lid", "one_case", "g.*")
+    grams = split.select("lid", "one_case", F.explode_outer(F.flatten(F.transform(starts, here))).alias("g")).select("lid", "one_case", "g.*")
     stated = (
         grams.withColumn("term", F.lower("gram"))
         .join(_terms(listed), "term")

@@ -66,8 +66,8 @@ def alike_classes(classes: DataFrame, *, alike: float = ALIKE, k: int = K) -> Da
     One hash serves for all. The k smallest hashes of a text are the sketch it retains. The inverted lists
     hold those hashes of a text that a pair of that likeness cannot miss: in any one order of all hashes
     two such texts share a value among their first n - ceil(alike x n) + 1, and the order taken puts rare
-    values first, counted over all texts in a fixed number of slots. Where two texts meet, their sizes and
-    the places of the value bound what they can share. The union of the sketches then estimates the
+    values first, counted over all texts in a fixed number of slots. Where two texts meet, their sizes,
+    the places of the value and a bit for each value bound what they can share. The union of the sketches then estimates the
     likeness of longer texts, whose sketch is not the whole text, and drops what is far off; exact Jaccard
     verifies the rest. Only ids and hashes are shuffled until then, and blocks of one text not at all.
     """
@@ -75,9 +75,13 @@ def alike_classes(classes: DataFrame, *, alike: float = ALIKE, k: int = K) -> Da
     usable = classes.where(F.length("text") >= 3).join(crowded, "block")
     largest = Observation()
     each = F.sort_array(F.transform(pieces(F.col("text")), lambda p: F.xxhash64(p)))
-    base = cut(usable.observe(largest, F.max("size").alias("size")).select("block", "text", "tag", "size", F.monotonically_increasing_id().alias("t"), each.alias("hashes")))
+    # A bit for each value: where the bits of two texts differ, their values do.
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.shiftright(h, 20), F.lit(64)).cast("int"))
+    bits = F.aggregate("hashes", F.lit(0).cast("bigint"), lambda x, h: x.bitwiseOR(bit(h)))
+    hashed = usable.observe(largest, F.max("size").alias("size")).select("block", "text", "tag", "size", F.monotonically_increasing_id().alias("t"), each.alias("hashes"))
+    base = cut(hashed.withColumns({"n": F.size("hashes"), "bits": bits}))
     slot = lambda h: F.pmod(h, F.lit(SLOTS)).cast("int")
-    counts = dict(map(tuple, base.select(F.explode("hashes").alias("h")).groupBy(slot(F.col("h")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()))
+    counts = dict(map(tuple, base.select(F.explode_outer("hashes").alias("h")).groupBy(slot(F.col("h")).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()))
     # At most SLOTS numbers: the rank of each slot by its count.
     rank = [0] * SLOTS
     for place, s in enumerate(sorted(range(SLOTS), key=lambda s: (counts.get(s, 0), s))):
@@ -85,18 +89,20 @@ def alike_classes(classes: DataFrame, *, alike: float = ALIKE, k: int = K) -> Da
     ranks = F.split(F.lit(",".join(map(str, rank))), ",").cast("array<int>")
     below = (1 << 47) - 1
     order = F.sort_array(F.transform("hashes", lambda h: F.shiftleft(F.get(ranks, slot(h)).cast("bigint"), 47).bitwiseOR(h.bitwiseAND(F.lit(below)))))
-    n = F.size("hashes")
+    n = F.col("n")
     first = F.slice(order, F.lit(1), n - F.ceil(n * F.lit(alike) - 1e-9).cast("int") + 1)
-    lists = base.select("block", "t", "size", n.alias("n"), F.posexplode(first).alias("pos", "piece")).select("t", "n", "pos", "size", F.xxhash64("block", "piece").alias("value"))
+    # The outer form keeps the optimizer from computing the array once more for a test of its length.
+    lists = base.select("block", "t", "size", "n", "bits", F.posexplode_outer(first).alias("pos", "piece")).select("t", "n", "pos", "size", "bits", F.xxhash64("block", "piece").alias("value"))
     if (largest.get["size"] or 0) > LARGE:
         left, right = _split_lists(lists)
     else:  # no list is longer than the largest block
         left, right = (lists.withColumn("part", F.lit(0)),) * 2
-    side = lambda df, s: df.select("value", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("t", "n", "pos")])
+    side = lambda df, s: df.select("value", "part", *[F.col(c).alias(f"{c}_{s}") for c in ("t", "n", "pos", "bits")])
     sized = (F.col("t_a") < F.col("t_b")) & (F.col("n_a") >= alike * F.col("n_b") - 1e-9) & (F.col("n_b") >= alike * F.col("n_a") - 1e-9)
     reach = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     enough = reach >= (F.col("n_a") + F.col("n_b")) * (alike / (1 + alike)) - 1e-9
-    near = side(left, "a").join(side(right, "b"), ["value", "part"]).where(sized & enough).select("t_a", "t_b").distinct()
+    close = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= (F.col("n_a") + F.col("n_b")) * ((1 - alike) / (1 + alike)) + 1e-9
+    near = side(left, "a").join(side(right, "b"), ["value", "part"]).where(sized & enough & close).select("t_a", "t_b").distinct()
     # A sketch is kept where it is less than the text.
     sketch = F.when(n > k, F.slice("hashes", 1, k))
     known = lambda s: base.select(*[c.alias(f"{name}_{s}") for name, c in {"t": F.col("t"), "block": F.col("block"), "text": F.col("text"), "tag": F.col("tag"), "n": n, "sketch": sketch}.items()])
