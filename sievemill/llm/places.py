@@ -10,24 +10,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.operators.skew import salted_join
-from sievemill.session import cut
+from sievemill.session import cut, map_batches
 
 #: Slips allowed in a word of at least so many letters.
 SLIPS = ((7, 2), (5, 1))
-#: Letters of the longest word that may be misspelt.
-LONGEST = 40
-#: Words of the longest region or country name that is looked for.
-GRAM = 3
+#: Letters of the longest word that meets others by its forms less letters; longer ones meet by their pieces.
+LONGEST = 24
 # Short forms of words in place names, and other names of countries by code.
 SHORT = {"mt": "mount", "ft": "fort", "st": "saint", "lk": "lake", "n": "north", "s": "south", "e": "east", "w": "west", "pt": "port", "ste": "sainte"}
-COUNTRY_NAMES = {"US": "usa us u s america", "GB": "uk gb great britain", "DE": "de deutschland ger", "FR": "fr", "ES": "es", "IN": "in", "CA": "ca", "AU": "au"}
+COUNTRY_NAMES = {
+    "US": "usa us u s america", "GB": "uk gb great britain", "DE": "de deutschland ger", "FR": "fr", "ES": "es espana", "IN": "in", "CA": "ca", "AU": "au", "NL": "nl holland",
+    "CH": "ch schweiz suisse", "AT": "at osterreich", "IT": "it italia", "BR": "br brasil", "PL": "pl polska", "DK": "dk danmark", "SE": "se sverige", "NO": "no norge", "FI": "fi suomi", "AE": "ae uae",
+    "IE": "ie eire", "JP": "jp nippon", "MX": "mx", "NZ": "nz", "ZA": "za rsa", "KR": "kr", "CN": "cn prc", "SG": "sg",
+}
 _FOLD_FROM = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1)
 _FOLD_TO = "".join(unicodedata.normalize("NFD", c)[0] for c in _FOLD_FROM)
+# Letters that no decomposition turns into plain ones.
+_STROKES = ("łŁøØđĐıħĦŧŦ", "lLoOdDihHtT")
+_LETTERS = {"ß": "ss", "æ": "ae", "Æ": "Ae", "œ": "oe", "Œ": "Oe", "þ": "th", "Þ": "Th", "ð": "d", "Ð": "D"}
+#: A word: letters and digits of any script.
+WORD = r"[\p{L}\p{N}]+"
 
 
 def fold(c: Column) -> Column:
-    """Text without accents."""
-    return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"\p{M}", "")
+    """Text without accents, and with plain letters for those with strokes and joined ones."""
+    out = F.regexp_replace(F.translate(c, _FOLD_FROM + _STROKES[0], _FOLD_TO + _STROKES[1]), r"\p{M}", "")
+    for letter, plain in _LETTERS.items():
+        out = F.replace(out, F.lit(letter), F.lit(plain))
+    return out
 
 
 def osa(a: str, b: str, most: int) -> int:
@@ -65,30 +75,56 @@ def _without(words: DataFrame, column: str) -> DataFrame:
     return step.withColumn("form", F.explode_outer(two)).drop("__one")
 
 
+def _pieces_of_words(words: DataFrame, column: str) -> DataFrame:
+    """Long words cut into five pieces, by length, number and piece: two slips leave one of them whole."""
+    n = F.length(column)
+    piece = lambda i: F.concat_ws("|", n, i, F.substring(F.col(column), F.floor(i * n / 5).cast("int") + 1, (F.floor((i + 1) * n / 5) - F.floor(i * n / 5)).cast("int")))
+    return words.select(column, F.explode_outer(F.transform(F.sequence(F.lit(0), F.lit(4)), piece)).alias("form"))
+
+
+def _pieces_of_tokens(tokens: DataFrame, column: str) -> DataFrame:
+    """The pieces that words within two slips of a long token may have, up to two letters off their place."""
+    each = F.array(*[F.lit(k) for k in range(-2, 3)])
+    of_length = tokens.select(column, F.explode_outer(F.transform(each, lambda k: F.length(column) + k)).alias("n"))
+    moved = of_length.select(column, "n", F.explode_outer(F.sequence(F.lit(0), F.lit(4))).alias("i")).select(column, "n", "i", F.explode_outer(each).alias("by"))
+    start = F.floor(F.col("i") * F.col("n") / 5).cast("int") + 1
+    size = (F.floor((F.col("i") + 1) * F.col("n") / 5) - F.floor(F.col("i") * F.col("n") / 5)).cast("int")
+    return moved.where(start + F.col("by") >= 1).select(column, F.concat_ws("|", "n", "i", F.substring(F.col(column), start + F.col("by"), size)).alias("form"))
+
+
 def repaired_tokens(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, sim): each distinct token with the words of the vocabulary within its allowed slips.
 
-    Both sides meet on their forms with up to two letters left out, an equality join that misses no pair
-    within two slips; the distance is then computed. A token that is a word itself is not repaired, and
-    words of more than ``LONGEST`` letters are met by themselves only.
+    Both sides meet on their forms with up to two letters left out, longer ones on pieces of which two slips
+    leave one whole: equality joins that miss no pair within two slips. The distance is then computed. A
+    token that is a word itself, or nothing but digits, is not repaired.
     """
-    longest = min(vocabulary.agg(F.max(F.length("word"))).first()[0] or 0, LONGEST)
+    longest = vocabulary.agg(F.max(F.length("word"))).first()[0] or 0
     exact = tokens.join(vocabulary, F.col("token") == F.col("word")).select("token", "word", F.lit(1.0).alias("sim"))
-    slipped = tokens.join(exact.select("token"), "token", "left_anti").where(F.length("token").between(SLIPS[-1][0] - 1, longest + 2)).where(~F.col("token").rlike("[0-9]"))
-    near = _without(slipped, "token").join(_without(vocabulary.where(F.length("word").between(SLIPS[-1][0], longest)), "word"), "form").select("token", "word").distinct()
+    slipped = tokens.join(exact.select("token"), "token", "left_anti").where(F.length("token").between(SLIPS[-1][0] - 1, longest + 2)).where(F.col("token").rlike(r"\p{L}"))
+    words = vocabulary.where(F.length("word") >= SLIPS[-1][0])
+    short = lambda df, c, most: df.where(F.length(c) <= most)
+    near = _without(short(slipped, "token", LONGEST + 2), "token").join(_without(short(words, "word", LONGEST), "word"), "form").select("token", "word")
+    if longest > LONGEST:
+        cut_up = _pieces_of_tokens(slipped.where(F.length("token") > LONGEST - 2), "token")
+        near = near.unionByName(cut_up.join(_pieces_of_words(words.where(F.length("word") > LONGEST), "word"), "form").select("token", "word"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             yield pdf.assign(d=[osa(a, b, 2) for a, b in zip(pdf["token"], pdf["word"], strict=True)])
 
-    found = near.mapInPandas(measure, "token string, word string, d int").where(F.col("d") <= _allowed(F.length("word")))
+    found = map_batches(near.distinct(), measure, "token string, word string, d int").where(F.col("d") <= _allowed(F.length("word")))
     return exact.unionByName(found.select("token", "word", (1 - F.col("d") / F.greatest(F.length("token"), F.length("word"))).alias("sim")))
 
 
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(WORD), 0)
+
+
 def _terms(places: DataFrame) -> DataFrame:
     """(term, code, country_code, region_code): the names and codes of regions and countries."""
     r = places.select("region", "region_code", "country_code", "country").distinct()
-    words = lambda c: F.array_join(F.regexp_extract_all(F.lower(fold(F.col(c))), F.lit("[a-z0-9]+"), 0), " ")
+    words = lambda c: F.array_join(_words(F.lower(fold(F.col(c)))), " ")
     none = F.lit(None).cast("string")
     named = r.select(words("region").alias("term"), F.lit(False).alias("code"), "country_code", "region_code")
     coded = r.select(F.lower("region_code").alias("term"), F.lit(True).alias("code"), "country_code", "region_code")
@@ -111,12 +147,14 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     distinct = locations.select(F.col(column).alias("location")).where(F.col("location").isNotNull() & ~F.col("location").rlike(blank)).distinct()
     # A number stands for the text from here on, so that long texts are not repeated for their words.
     loc = cut(distinct.withColumn("lid", F.monotonically_increasing_id()))
-    raw = F.regexp_extract_all(fold("location"), F.lit("[A-Za-z0-9]+"), 0)
+    raw = _words(fold("location"))
     short = F.create_map(*[F.lit(x) for kv in SHORT.items() for x in kv])
     listed = places.where("place_id is not null and city is not null").dropDuplicates(["place_id"])
-    city_words = F.transform(F.regexp_extract_all(F.lower(fold(F.col("city"))), F.lit("[a-z0-9]+"), 0), lambda w: F.coalesce(F.try_element_at(short, w), w))
+    city_words = F.transform(_words(F.lower(fold(F.col("city")))), lambda w: F.coalesce(F.try_element_at(short, w), w))
     entry = listed.withColumn("word", F.explode(F.array_distinct(city_words)))
-    total = listed.count()
+    # The number of places, and the words of the longest name of a region or country.
+    long_name = F.greatest(*[F.size(_words(F.coalesce(c, F.lit("")))) for c in ("region", "country")], F.lit(1))
+    total, gram = listed.agg(F.count(F.lit(1)), F.coalesce(F.max(long_name), F.lit(1))).first()
     # The frequency of a word over cities, not rows, so a name of two regions stays distinctive.
     frequency = entry.groupBy("word").agg(F.count_distinct(F.lower("city")).alias("df")).select("word", "df", F.log(1 + F.lit(total) / F.col("df")).alias("idf"))
     of_place = Window.partitionBy("place_id")
@@ -133,7 +171,7 @@ def named_places(locations: DataFrame, places: DataFrame, *, column: str = "loca
     one_case = (F.col("location") == F.lower("location")) | (F.col("location") == F.upper("location"))
     split = loc.select("lid", one_case.alias("one_case"), raw.alias("raw")).where(F.size("raw") > 0)
     starts = F.sequence(F.lit(0), F.size("raw") - 1)
-    here = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(GRAM), F.size("raw") - i)), lambda k: F.struct(F.array_join(F.slice("raw", i + 1, k), " ").alias("gram"), (i >= F.size("raw") - 1).alias("last")))
+    here = lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(gram), F.size("raw") - i)), lambda k: F.struct(F.array_join(F.slice("raw", i + 1, k), " ").alias("gram"), (i >= F.size("raw") - 1).alias("last")))
     grams = split.select("lid", "one_case", F.explode_outer(F.flatten(F.transform(starts, here))).alias("g")).select("lid", "one_case", "g.*")
     stated = (
         grams.withColumn("term", F.lower("gram"))
