@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievemill.session import map_batches
+
 #: Consecutive words that make a leak.
 WINDOW = 12
 #: Words of test items that one scan of the corpus searches for; more items are searched in blocks.
@@ -31,22 +34,23 @@ class WuManber:
     """Finds every pattern (``window`` consecutive words of an item) in a list of words.
 
     ``shift`` tells by the block of two words at the end of the window how far the window may move without
-    missing a pattern; only a shift of 0 opens the bucket of patterns that end in this block, whose words
-    are then compared directly."""
+    missing a pattern; only a shift of 0 opens the bucket of the patterns that end in this block, where the
+    hash of the window selects those whose words are then compared directly. A pattern is kept as its item
+    and place, so the words of the items are held once."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
         self.window = window
+        self.items = [(item, words_of(text)) for item, text in items]
         self.shift: dict[tuple[str, str], int] = {}
-        self.buckets: dict[tuple[str, str], dict[tuple[str, ...], set[int]]] = {}
-        for item, text in items:
-            words = words_of(text)
+        self.buckets: dict[tuple[str, str], dict[int, list[tuple[int, int]]]] = {}
+        for n, (_, words) in enumerate(self.items):
             for start in range(len(words) - window + 1):
-                pattern = tuple(words[start : start + window])
                 for end in range(_B, window + 1):
-                    block = (pattern[end - 2], pattern[end - 1])
+                    block = (words[start + end - 2], words[start + end - 1])
                     if window - end < self.shift.get(block, window):
                         self.shift[block] = window - end
-                self.buckets.setdefault(pattern[-_B:], {}).setdefault(pattern, set()).add(item)
+                bucket = self.buckets.setdefault((words[start + window - 2], words[start + window - 1]), {})
+                bucket.setdefault(hash(tuple(words[start : start + window])), []).append((n, start))
 
     def search(self, words: list[str]) -> set[int]:
         found: set[int] = set()
@@ -55,14 +59,28 @@ class WuManber:
         while at <= n:
             move = shift.get((words[at - 2], words[at - 1]), skip)
             if not move:
-                hit = self.buckets[words[at - 2], words[at - 1]].get(tuple(words[at - window : at]))
-                if hit:
-                    found |= hit
+                here = words[at - window : at]
+                for k, start in self.buckets[here[-2], here[-1]].get(hash(tuple(here)), ()):
+                    item, told = self.items[k]
+                    if item not in found and told[start : start + window] == here:
+                        found.add(item)
                 move = 1
             at += move
         return found
 
 
+#: The tables of the last block in this worker, by the name of the block.
+_BUILT: dict[str, WuManber] = {}
+
+
+def _machine(name: str, items: list[tuple[int, str]], window: int) -> WuManber:
+    """The tables of a block, built once a worker process instead of once a task."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = WuManber(items, window)
+    return _BUILT[name]
+
+
 def leaked_passages(
     documents: DataFrame,
     items: DataFrame,
@@ -91,14 +109,14 @@ def leaked_passages(
     out = None
     for k in range(blocks):
         block = [(r["item_id"], r["text"]) for r in bare.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "text").collect()]
-        shared = spark.sparkContext.broadcast(block)
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
 
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            machine = WuManber(shared.value, window)
+        def scan(batches: Iterator[pd.DataFrame], shared=shared, name=name) -> Iterator[pd.DataFrame]:
+            machine = _machine(name, shared.value, window)
             for pdf in batches:
                 pairs = [(d, i) for d, t in zip(pdf["doc_id"], pdf["text"], strict=True) for i in machine.search(words_of(t))]
                 yield pd.DataFrame(pairs, columns=["doc_id", "item_id"])
 
-        part = docs.mapInPandas(scan, f"doc_id {ids}, item_id {kind}")
+        part = map_batches(docs, scan, f"doc_id {ids}, item_id {kind}")
         out = part if out is None else out.unionByName(part)
     return out.distinct()
