@@ -57,10 +57,11 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
 
     ``sizes``: (mix_source, tokens, ...) rows. The total is that of all tokens, those of sources without a
     target included. rate = target_share x total / tokens of the source, at most ``max_repeats`` (null: no
-    cap). A source without documents has no rate.
+    cap). A source without documents has no rate. Targets of one source, spelled in several ways, add up
+    and the smallest cap holds; repeated rows count once.
     """
     per = sizes.groupBy("mix_source").agg(F.sum("tokens").alias("source_tokens"), F.count(F.lit(1)).alias("source_docs"))
-    wanted = targets.select(source_name(F.col("source")).alias("mix_source"), "target_share", "max_repeats").dropDuplicates(["mix_source"])
+    wanted = targets.select(source_name(F.col("source")).alias("mix_source"), "target_share", "max_repeats").distinct().groupBy("mix_source").agg(F.sum("target_share").alias("target_share"), F.min("max_repeats").alias("max_repeats"))
     corpus = per.agg(F.sum("source_tokens")).first()[0] or 0
     asked = F.col("target_share") * F.lit(float(corpus)) / F.nullif(F.col("source_tokens"), F.lit(0))
     return (
@@ -71,17 +72,17 @@ def mixing_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def _emitted(sizes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+def _copied(rows: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    """The rows (doc_id, mix_source, ...) once for each copy of the mixture, with ``copy_no``."""
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.floor("rate").cast("int") + (draw < F.col("rate") - F.floor("rate")).cast("int")
     # One row a source on the small side: it is as long as the list of targets.
-    return (
-        sizes.join(F.broadcast(rates.select("mix_source", "rate")), "mix_source")
-        .withColumn("copies", copies)
-        .where("copies > 0")
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-        .select("doc_id", "mix_source", "tokens", "copy_no")
-    )
+    joined = rows.join(F.broadcast(rates.select("mix_source", "rate")), "mix_source").withColumn("copies", copies).where("copies > 0")
+    return joined.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+
+def _emitted(sizes: DataFrame, rates: DataFrame, seed: int) -> DataFrame:
+    return _copied(sizes, rates, seed).select("doc_id", "mix_source", "tokens", "copy_no")
 
 
 def _counted(documents: DataFrame, doc_id: str, text: str, source: str, vocabulary: str) -> DataFrame:
@@ -102,6 +103,15 @@ def mixed(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", t
     return _emitted(sizes, mixing_rates(sizes, targets), seed)
 
 
+def mixed_texts(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, mix_source, copy_no, text): the mixture itself, the copies of ``mixed`` with their texts.
+
+    The copies follow from the id and the rates, so the texts come from a second scan and are not shuffled."""
+    rates = mixing_rates(_counted(documents, doc_id, text, source, vocabulary), targets)
+    rows = documents.select(F.col(doc_id).alias("doc_id"), source_name(F.col(source)).alias("mix_source"), F.col(text).alias("text")).where("text <> ''")
+    return _copied(rows, rates, seed).select("doc_id", "mix_source", "copy_no", "text")
+
+
 def mixture_report(documents: DataFrame, targets: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per target source: documents, tokens, target, cap, rate, what was emitted and the share reached,
     of the emitted total and of the corpus total."""
