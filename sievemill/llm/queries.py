@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.llm.leak import leaked_passages
-from sievemill.llm.mix import mixed, mixture_report
+from sievemill.llm.mix import mixed, mixed_texts, mixture_report
 from sievemill.llm.names import spelling_classes, spelling_pairs
 from sievemill.llm.places import posting_places
 from sievemill.llm.quality import label_shares, not_prose, text_statistics
 from sievemill.llm.reposts import linked_openings, repost_pairs
-from sievemill.llm.survivor import best_of_groups, duplicate_groups, golden_records
+from sievemill.llm.survivor import best_of_groups, duplicate_groups, field_claims, golden_records, source_reliability
 from sievemill.operators.units import pay_per_year
 from sievemill.session import table
 
@@ -34,6 +34,10 @@ def p9_mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p9_texts(spark: SparkSession, d: str) -> DataFrame:
+    return mixed_texts(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixture_report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -59,9 +63,17 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return duplicate_groups(table(spark, d, "jobs"))
 
 
+_FIELDS = ["title", "company", "location", "workplace", "salary"]
+
+
 def p5_golden(spark: SparkSession, d: str) -> DataFrame:
     jobs = table(spark, d, "jobs")
-    return golden_records(jobs, duplicate_groups(jobs), ["title", "company", "location", "workplace", "salary"])
+    return golden_records(jobs, duplicate_groups(jobs), _FIELDS)
+
+
+def p5_reliability(spark: SparkSession, d: str) -> DataFrame:
+    jobs = table(spark, d, "jobs")
+    return source_reliability(field_claims(jobs, duplicate_groups(jobs), _FIELDS))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -76,7 +88,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return posting_places(table(spark, d, "jobs"), table(spark, d, "places"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p6_found, p6_classes, p7_found, p7_openings, p8_found, p9_mixed, p9_shares, p10_found, p10_shares, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p5_found, p5_groups, p5_golden, p5_reliability, p6_found, p6_classes, p7_found, p7_openings, p8_found, p9_mixed, p9_texts, p9_shares, p10_found, p10_shares, p10_statistics)}
 SQL: dict[str, str] = {
     "p5_groups": r"""
 WITH RECURSIVE e AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -30,18 +31,11 @@ def best_by(order: Sequence[Column], value: Column) -> Column:
     return F.min_by(value, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
 
 
-def truth_discovery(claims: DataFrame, *, rounds: int = 20, tolerance: float = 1e-4) -> DataFrame:
-    """Per object and field the value with the highest support.
-
-    ``claims``: (object, field, value, source). Alternately the support of a value is the sum of the
-    weights of the sources that claim it, and a source's weight is -log of its share of claims lost
-    (smoothed), until no weight moves by more than ``tolerance``, or after ``rounds``. Ties go to the
-    smaller value. Null values are no claims; a claim counts once for each source. The weights table has
-    one row a source; all steps are aggregations with partial sums.
-    """
+def _discovered(claims: DataFrame, rounds: int, tolerance: float) -> tuple[DataFrame, DataFrame, int, bool]:
+    """The winners, the weights, the rounds taken and whether the weights came to rest."""
     c = cut(claims.where("value is not null and object is not null").groupBy("object", "field", "value", "source").agg(F.count(F.lit(1)).alias("__n")).drop("__n"))
     weights = cut(c.select("source").distinct().withColumn("weight", F.lit(1.0)))
-    for _ in range(rounds):
+    for n in range(1, rounds + 1):
         support = c.join(weights, "source").groupBy("object", "field", "value").agg(F.sum("weight").alias("support"))
         # With a rounded sum the order of additions cannot decide a tie.
         order = F.struct((-F.round("support", 9)).alias("s"), F.col("value").alias("v"))
@@ -51,19 +45,41 @@ def truth_discovery(claims: DataFrame, *, rounds: int = 20, tolerance: float = 1
         moved = fresh.agg(F.max(F.abs(F.col("weight") - F.col("old")))).first()[0]
         weights = fresh.select("source", "weight")
         if moved is None or moved <= tolerance:
-            break
-    return winners.select("object", "field", F.col("winner").alias("value"), "support")
+            return winners, weights, n, True
+    warnings.warn(f"truth discovery: weights still move by {moved:.2g} after {rounds} rounds", stacklevel=3)
+    return winners, weights, rounds, False
 
 
-def golden_records(jobs: DataFrame, groups: DataFrame, fields: Sequence[str], *, key: str = "id", source: str = "source") -> DataFrame:
-    """(group_id, one column per field): the surviving record of each group, field by field.
+def truth_discovery(claims: DataFrame, *, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """Per object and field the value with the highest support.
 
-    Each member claims its non-blank values; the platforms are the sources whose reliability is estimated.
+    ``claims``: (object, field, value, source). Alternately the support of a value is the sum of the
+    weights of the sources that claim it, and a source's weight is -log of its share of claims lost
+    (smoothed), until no weight moves by more than ``tolerance``; after ``rounds`` it ends with a warning.
+    Ties go to the smaller value. Null values are no claims; a claim counts once for each source. The
+    weights table has one row a source; all steps are aggregations with partial sums.
     """
+    return _discovered(claims, rounds, tolerance)[0].select("object", "field", F.col("winner").alias("value"), "support")
+
+
+def source_reliability(claims: DataFrame, *, rounds: int = 50, tolerance: float = 1e-4) -> DataFrame:
+    """(source, weight, rounds, at_rest): what truth discovery holds of each source, and whether it converged."""
+    _, weights, taken, at_rest = _discovered(claims, rounds, tolerance)
+    return weights.select("source", "weight", F.lit(taken).alias("rounds"), F.lit(at_rest).alias("at_rest"))
+
+
+def field_claims(jobs: DataFrame, groups: DataFrame, fields: Sequence[str], *, key: str = "id", source: str = "source") -> DataFrame:
+    """(object, field, value, source): what each member of a group claims, its non-blank values; the
+    platforms are the sources whose reliability is estimated."""
     member = jobs.select(F.col(key).alias("id"), F.coalesce(F.col(source), F.lit("")).alias("source"), *[F.col(f).cast("string").alias(f"__f_{f}") for f in fields]).join(groups, "id")
     claim = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"__f_{f}").alias("value")) for f in fields]))
-    claims = member.select(F.col("group_id").alias("object"), "source", claim.alias("c")).select("object", "source", "c.field", F.nullif(F.trim("c.value"), F.lit("")).alias("value"))
-    won = truth_discovery(claims)
+    return member.select(F.col("group_id").alias("object"), "source", claim.alias("c")).select("object", "source", "c.field", F.nullif(F.trim("c.value"), F.lit("")).alias("value"))
+
+
+def golden_records(jobs: DataFrame, groups: DataFrame, fields: Sequence[str], *, key: str = "id", source: str = "source") -> DataFrame:
+    """(group_id, one column per field): the surviving record of each group, field by field, by truth
+    discovery over the claims of its members; a field that no member fills is null."""
+    won = truth_discovery(field_claims(jobs, groups, fields, key=key, source=source))
     return won.groupBy(F.col("object").alias("group_id")).pivot("field", list(fields)).agg(F.first("value"))
 
 
