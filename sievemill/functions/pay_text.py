@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from decimal import Decimal
 from functools import lru_cache
 from typing import NamedTuple
@@ -46,11 +47,14 @@ _NOT_PAY_BEFORE = re.compile(r"(?:grade|band|level|step|tier|class|stufe|gruppe|
 _NOT_PAY_AFTER = re.compile(r"\s*(?:%|\(k\)|percent|(?:days?|weeks?|months?|years?|hours?|hrs?)\b(?!\s*rate))")
 _GROUP = r"[.,'    ’]"
 _NUMBER = re.compile(rf"(?<![\w.])(?:\d{{1,3}}(?:{_GROUP}\d{{2,3}})*{_GROUP}\d{{3}}(?!\d)(?:[.,]\d{{1,2}}(?!\d))?|\d+(?:[.,]\d+)?)")
+#: Characters between the ends of a range, units included, at most: those of the longest unit on either side.
+_NEAR = 80
 _BETWEEN = re.compile(r"^\s*(?:-|–|—|−|~|/|to|and|bis|a|à|y|und|et|up to)\s*$")
 
 
 class Pay(NamedTuple):
-    """What a text states: amounts with their scales already named, or units only; ``stated`` is False for no pay."""
+    """What a text states: amounts with their scales already named, or units only; ``stated`` is False for no
+    pay. ``further`` counts amounts that stand beside the one or the range taken."""
 
     stated: bool
     low: float | None = None
@@ -59,14 +63,25 @@ class Pay(NamedTuple):
     high_scale: str | None = None
     currency: str | None = None
     period: str | None = None
+    further: int = 0
 
 
-@lru_cache(1)
-def _automaton() -> ahocorasick.Automaton:
+def aliases_of(kind: str, unit: str) -> list[str]:
+    """Spellings of a unit that the fixed list lacks: its own name, for a period with what stands before it."""
+    name = " ".join(unit.lower().split())
+    return [f"{before}{name}" for before in ("per ", "a ", "an ", "each ", "/")] if kind == "period" else [name]
+
+
+@lru_cache(8)
+def _automaton(more: tuple[tuple[str, str], ...] = ()) -> ahocorasick.Automaton:
     machine = ahocorasick.Automaton()
     for unit, names in ALIASES.items():
         for name in names:
             machine.add_word(name, (name, *unit))
+    for kind, unit in more:
+        for name in aliases_of(kind, unit):
+            if name and name not in machine:
+                machine.add_word(name, (name, kind, unit))
     machine.make_automaton()
     return machine
 
@@ -85,10 +100,10 @@ def _number(text: str) -> Decimal:
     return Decimal(s)
 
 
-def _units(low: str) -> list[tuple[int, int, str, str]]:
+def _units(low: str, more: tuple[tuple[str, str], ...] = ()) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, unit) from left to right, of matches at one place the longest, on word boundaries."""
     hits = []
-    for end, (name, kind, unit) in _automaton().iter(low):
+    for end, (name, kind, unit) in _automaton(more).iter(low):
         start = end + 1 - len(name)
         before, after = low[start - 1] if start else " ", low[end + 1] if end + 1 < len(low) else " "
         if name in _GLUED:
@@ -109,44 +124,76 @@ def _units(low: str) -> list[tuple[int, int, str, str]]:
     return taken
 
 
-def read_pay(text: str | None) -> Pay | None:
-    """None for blank text; otherwise what it states."""
-    if text is None or not text.strip():
-        return None
-    low = re.sub(r"\s*/\s*", "/", re.sub(r"[\s]+", " ", text.strip())).lower()
-    units = _units(low)
-    amounts: list[tuple[int, int, Decimal, str | None]] = []
+Amount = tuple[int, int, Decimal, str | None]
+
+
+def _amounts(low: str, units: list[tuple[int, int, str, str]]) -> list[Amount]:
+    """Every number that may be an amount: start, end, value and the scale right after it."""
+    scales = {s: u for s, _, k, u in units if k in ("scale", "lpa")}
+    found: list[Amount] = []
     for m in _NUMBER.finditer(low):
         before = low[max(0, m.start() - 12) : m.start()].rstrip()
-        if m.end() - m.start() > 20 or _NOT_PAY_AFTER.match(low, m.end()) or _NOT_PAY_BEFORE.search(before):
+        if _NOT_PAY_AFTER.match(low, m.end()) or _NOT_PAY_BEFORE.search(before):
             continue
-        scale = next((u for s, e, k, u in units if k in ("scale", "lpa") and 0 <= s - m.end() <= 1), None)
-        amounts.append((m.start(), m.end(), _number(m.group()), "lakh" if scale == "lpa" else scale))
-        if len(amounts) == 2:  # one amount or one range
-            break
+        scale = scales.get(m.end(), scales.get(m.end() + 1))
+        found.append((m.start(), m.end(), _number(m.group()), "lakh" if scale == "lpa" else scale))
+    return found
+
+
+def _ranges(low: str, amounts: list[Amount], units: list[tuple[int, int, str, str]]) -> list[tuple[Amount, Amount | None]]:
+    """The amounts one by one, or in pairs where a dash or a word, and nothing else but units, stands between."""
+    starts = [u[0] for u in units]
+    out: list[tuple[Amount, Amount | None]] = []
+    i = 0
+    while i < len(amounts):
+        first, second = amounts[i], None
+        if i + 1 < len(amounts) and amounts[i + 1][0] - first[1] <= _NEAR:
+            begin, end = first[1], amounts[i + 1][0]
+            gap = low[begin:end]
+            inside = units[bisect_left(starts, begin) : bisect_left(starts, end)]
+            for s, e, _, _ in reversed([u for u in inside if u[1] <= end]):
+                gap = gap[: s - begin] + " " + gap[e - begin :]
+            if _BETWEEN.match(gap):
+                second = amounts[i + 1]
+        out.append((first, second))
+        i += 1 if second is None else 2
+    return out
+
+
+def _marked(pay: tuple[Amount, Amount | None], units: list[tuple[int, int, str, str]]) -> bool:
+    """Whether a unit stands right beside an amount, a blank aside."""
+    edges = {x for a in pay if a for x in (a[0], a[0] - 1)}, {x for a in pay if a for x in (a[1], a[1] + 1)}
+    return any(a and a[3] for a in pay) or any(e in edges[0] or s in edges[1] for s, e, _, _ in units)
+
+
+def read_pay(text: str | None, more: tuple[tuple[str, str], ...] = ()) -> Pay | None:
+    """None for blank text; otherwise what it states. ``more``: units (kind, name) beside the listed ones.
+
+    Of several amounts the first one, or the first range, with a unit beside it is taken; without any the
+    first; the others are counted in ``further``."""
+    if text is None or not text.strip():
+        return None
+    low = re.sub(r"\s*/\s*", "/", re.sub(r"[\s]+", " ", text.strip())).lower()
+    units = _units(low, more)
+    ranges = _ranges(low, _amounts(low, units), units)
     currencies = [u for u in units if u[2] == "currency"]
     periods = [u for u in units if u[2] == "period"]
     lakhs = any(k == "lpa" or u == "lakh" for _, _, k, u in units)
-    if not (currencies or periods or any(k in ("scale", "lpa") for _, _, k, _ in units)) or not (currencies or periods or lakhs or amounts):
+    if not (currencies or periods or any(k in ("scale", "lpa") for _, _, k, _ in units)) or not (currencies or periods or lakhs or ranges):
         return Pay(False)
-    near = lambda us: min(us, key=lambda u: min((abs(u[0] - a[1]), abs(a[0] - u[1])) if (a := amounts[0]) else (0,)) if amounts else u[0])[3] if us else None
+    taken = ranges[0] if len(ranges) == 1 else next((r for r in ranges if _marked(r, units)), ranges[0]) if ranges else None
+    near = lambda us: min(us, key=lambda u: min(abs(u[0] - taken[0][1]), abs(taken[0][0] - u[1])) if taken else u[0])[3] if us else None
     currency = near(currencies) or ("INR" if lakhs else "USD")
     period = near(periods) or "year"
-    if not amounts:
+    if taken is None:
         if not currencies and not periods:
             return Pay(False)
         scale = next((u for _, _, k, u in units if k == "scale"), None)
         return Pay(True, None, None, scale, scale, currency, period)
-    # The pair of a range stands next to each other with a dash or a word between; units may stand there too.
-    first = amounts[0]
-    second = None
-    if len(amounts) > 1:
-        gap = low[first[1] : amounts[1][0]]
-        for s, e, _, _ in reversed([u for u in units if first[1] <= u[0] and u[1] <= amounts[1][0]]):
-            gap = gap[: s - first[1]] + " " + gap[e - first[1] :]
-        if _BETWEEN.match(gap):
-            second = amounts[1]
+    (_, _, a, scale_a), second = taken
+    further = sum(1 if r[1] is None else 2 for r in ranges) - (1 if second is None else 2)
     if second is None:
-        return Pay(True, float(first[2]), float(first[2]), first[3], first[3], currency, period)
-    shared = first[3] or (second[3] if first[2] <= second[2] or not second[3] else None)
-    return Pay(True, float(first[2]), float(second[2]), shared, second[3] or (first[3] if second[2] >= first[2] else None), currency, period)
+        return Pay(True, float(a), float(a), scale_a, scale_a, currency, period, further)
+    _, _, b, scale_b = second
+    shared = scale_a or (scale_b if a <= b or not scale_b else None)
+    return Pay(True, float(a), float(b), shared, scale_b or (scale_a if b >= a else None), currency, period, further)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sievemill.operators.snapshots import posting_changes
 from sievemill.operators.timestamps import posting_instants
-from sievemill.operators.units import pay_per_year
+from sievemill.operators.units import further_amounts, pay_per_year
 from sievemill.session import table
 
 
@@ -22,7 +22,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return pay_per_year(table(spark, d, "jobs"), table(spark, d, "pay_units"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found)}
+def p4_further(spark: SparkSession, d: str) -> DataFrame:
+    return further_amounts(table(spark, d, "jobs"), table(spark, d, "pay_units"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p3_found, p4_found, p4_further)}
 
 #: DuckDB's own statement of the same results; time zones and pay texts are tested by brute force instead.
 SQL = {
