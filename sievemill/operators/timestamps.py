@@ -2,46 +2,83 @@
 
 from __future__ import annotations
 
+import os
+import struct
 import zoneinfo
 from collections.abc import Iterator
 from datetime import datetime, timedelta, timezone
+from importlib import resources
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions.wallclock import read_wallclock
+from sievemill.session import map_batches
 
-#: The years for which zone offsets are tabulated; wall times outside use Spark's own conversion.
+#: The years for which zone offsets are tabulated by default; wall times outside use Spark's own conversion.
 YEARS = (1970, 2060)
+#: The years tabulated for postings, whose dates of any plausible year take the same way.
+POSTING_YEARS = (1900, 2100)
+
+
+def _tz_file(name: str) -> bytes:
+    """A zone of the tz database as its compiled file, from the system or the tzdata package."""
+    for folder in zoneinfo.TZPATH:
+        path = os.path.join(folder, *name.split("/"))
+        if os.path.isfile(path):
+            with open(path, "rb") as f:
+                return f.read()
+    package, _, last = ("tzdata/zoneinfo/" + name).rpartition("/")
+    return resources.files(package.replace("/", ".")).joinpath(last).read_bytes()
+
+
+def _recorded_changes(data: bytes) -> list[int]:
+    """The instants (seconds UTC) at which a compiled zone records a change; RFC 8536, 64-bit block."""
+    sizes = lambda at: struct.unpack(">6l", data[at + 20 : at + 44])
+    utc, std, leap, times, kinds, chars = sizes(0)
+    if data[4:5] in (b"", b"\0"):  # the first version has 32-bit times only
+        return list(struct.unpack(f">{times}l", data[44 : 44 + 4 * times]))
+    second = 44 + 5 * times + 6 * kinds + chars + 8 * leap + std + utc
+    times = sizes(second)[3]
+    return list(struct.unpack(f">{times}q", data[second + 44 : second + 44 + 8 * times]))
 
 
 def _offset_spans(names: Iterator[pd.DataFrame], first: int, last: int) -> Iterator[pd.DataFrame]:
     """Per zone the spans of one offset: UTC start and end in seconds, offset in seconds.
 
-    Offsets are sampled each week and a change is then located by bisection to the second."""
-    week = 7 * 86400
-    start, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (first, last + 1))
+    The recorded changes of the tz database are taken as they are. After the last of them a zone keeps its
+    offset or follows the yearly rule of its file, whose changes lie months apart: it is then sampled every
+    four weeks and a change located by bisection."""
+    stride, day = 28 * 86400, 86400
+    start, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) + d * day for y, d in ((first, -2), (last + 1, 2)))
     epoch = datetime(1970, 1, 1, tzinfo=timezone.utc)
     for pdf in names:
         out = []
         for name in pdf["zone"]:
             zone = zoneinfo.ZoneInfo(name)
             off = lambda s: int((epoch + timedelta(seconds=s)).astimezone(zone).utcoffset().total_seconds())  # noqa: B023, E731
-            at, now = start - 2 * 86400, off(start - 2 * 86400)
-            since = at
-            while at < end + 2 * 86400:
-                nxt = at + week
-                if off(nxt) != now:
-                    lo, hi = at, nxt
+            data = _tz_file(name)
+            recorded = _recorded_changes(data)
+            changes = [s for s in recorded if start < s < end]
+            rule = data[4:5] in (b"", b"\0") or b"," in data.rstrip(b"\n").rpartition(b"\n")[2]
+            at = max([start, *recorded[-1:]]) if rule else end
+            while at < end:
+                if off(at + stride) != off(at):
+                    lo, hi = at, at + stride
                     while hi - lo > 1:
                         mid = (lo + hi) // 2
-                        lo, hi = (mid, hi) if off(mid) == now else (lo, mid)
-                    out.append((name, since, hi, now))
-                    since, now, at = hi, off(hi), hi
+                        lo, hi = (mid, hi) if off(mid) == off(at) else (lo, mid)
+                    changes.append(hi)
+                    at = hi
                 else:
-                    at = nxt
-            out.append((name, since, at, now))
+                    at += stride
+            since, now = start, off(start)
+            for s in changes:
+                if off(s) != now:
+                    out.append((name, since, s, now))
+                    since, now = s, off(s)
+            out.append((name, since, end, now))
         yield pd.DataFrame(out, columns=["zone", "utc_from", "utc_to", "offset_s"])
 
 
@@ -52,7 +89,7 @@ def zone_intervals(spark: SparkSession, years: tuple[int, int] = YEARS) -> DataF
     database: some 600 names x the tabulated years x the two or three intervals of a year.
     """
     names = spark.createDataFrame([(z,) for z in sorted(zoneinfo.available_timezones())], "zone string").repartition(16)
-    spans = names.mapInPandas(lambda it: _offset_spans(it, *years), "zone string, utc_from long, utc_to long, offset_s int")
+    spans = map_batches(names, lambda it: _offset_spans(it, *years), "zone string, utc_from long, utc_to long, offset_s int")
     million = F.lit(1_000_000).cast("bigint")
     local = spans.select(
         "zone",
@@ -103,7 +140,7 @@ def posting_instants(jobs: DataFrame) -> DataFrame:
     """
     valued = jobs.where(F.col("id").isNotNull() & F.col("published").isNotNull()).select("id", "published", "publishedmeaning", F.unix_micros("checked").alias("checked_us"))
     stated = read_wallclock(valued, "published", "publishedmeaning")
-    resolved = local_to_utc(stated, local_us="local_us", zone="zone")
+    resolved = local_to_utc(stated, local_us="local_us", zone="zone", years=POSTING_YEARS)
     us = F.coalesce(
         F.col("epoch_us"),
         F.when(F.col("offset_min").isNotNull(), F.col("local_us") - F.col("offset_min").cast("bigint") * 60_000_000),
