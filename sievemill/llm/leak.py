@@ -14,8 +14,9 @@ from sievemill.session import map_batches
 
 #: Consecutive words that make a leak.
 WINDOW = 12
-#: Words of test items that one scan of the corpus searches for; more items are searched in blocks.
-BLOCK_WORDS = 2_000_000
+#: Words of test items that one scan of the corpus searches for; more items are searched in blocks. The tables
+#: of a block take some 150 MB of a worker.
+BLOCK_WORDS = 500_000
 #: Words of one block of the shift and bucket tables.
 _B = 2
 
@@ -34,23 +35,27 @@ class WuManber:
     """Finds every pattern (``window`` consecutive words of an item) in a list of words.
 
     ``shift`` tells by the block of two words at the end of the window how far the window may move without
-    missing a pattern; only a shift of 0 opens the bucket of the patterns that end in this block, where the
-    hash of the window selects those whose words are then compared directly. A pattern is kept as its item
-    and place, so the words of the items are held once."""
+    missing a pattern; only a shift of 0 opens the bucket of the window's hash, whose patterns are then
+    compared directly, word by word. A pattern is kept as its item and place in one number, so the words of
+    the items are held once."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW) -> None:
         self.window = window
         self.items = [(item, words_of(text)) for item, text in items]
         self.shift: dict[tuple[str, str], int] = {}
-        self.buckets: dict[tuple[str, str], dict[int, list[tuple[int, int]]]] = {}
+        self.buckets: dict[int, int | list[int]] = {}
         for n, (_, words) in enumerate(self.items):
             for start in range(len(words) - window + 1):
                 for end in range(_B, window + 1):
                     block = (words[start + end - 2], words[start + end - 1])
                     if window - end < self.shift.get(block, window):
                         self.shift[block] = window - end
-                bucket = self.buckets.setdefault((words[start + window - 2], words[start + window - 1]), {})
-                bucket.setdefault(hash(tuple(words[start : start + window])), []).append((n, start))
+                key, here = hash(tuple(words[start : start + window])), n << 32 | start
+                held = self.buckets.setdefault(key, here)
+                if isinstance(held, list):
+                    held.append(here)
+                elif held != here:
+                    self.buckets[key] = [held, here]
 
     def search(self, words: list[str]) -> set[int]:
         found: set[int] = set()
@@ -60,8 +65,10 @@ class WuManber:
             move = shift.get((words[at - 2], words[at - 1]), skip)
             if not move:
                 here = words[at - window : at]
-                for k, start in self.buckets[here[-2], here[-1]].get(hash(tuple(here)), ()):
-                    item, told = self.items[k]
+                held = self.buckets.get(hash(tuple(here)), ())
+                for place in (held,) if isinstance(held, int) else held:
+                    item, told = self.items[place >> 32]
+                    start = place & 0xFFFFFFFF
                     if item not in found and told[start : start + window] == here:
                         found.add(item)
                 move = 1
