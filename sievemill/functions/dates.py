@@ -28,13 +28,20 @@ def day_first(c: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), s), F.lit("d/M/yyyy")), F.try_to_timestamp(F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), s), F.lit("d/M/yy")), F.try_to_timestamp(F.when(s.rlike(r"^\d{1,2}-[A-Za-z]{3}-\d{4}$"), s), F.lit("d-MMM-yyyy")))
 
 
-def freshness(published: Column, now: Column, week: int = 7) -> Column:
-    """struct<age_days, within_24h, within_7d>; an instant in the future is not fresh."""
+def freshness(published: Column, now: Column, week: int = 7, *, half_up: bool = False) -> Column:
+    """struct<tenths, within_24h, within_7d>, the age in tenths of a day rounded half to even, or half up; an
+    instant in the future is not fresh."""
     age = (F.unix_micros(now) - F.unix_micros(published)) / F.lit(1e6)
     inside = lambda days: F.coalesce(age.between(0, days * 86400), F.lit(False))
-    return F.struct(F.bround(age / 86400 * 10, 0).alias("tenths"), inside(1).alias("within_24h"), inside(week).alias("within_7d"))
+    tenths = F.floor(age / 86400 * 10 + 0.5).cast("double") if half_up else F.bround(age / 86400 * 10, 0)
+    return F.struct(tenths.alias("tenths"), inside(1).alias("within_24h"), inside(week).alias("within_7d"))
 
 
 def sweep_label(at: Column) -> Column:
     """struct<day, minute> of a sweep: its UTC date and HH:MM."""
     return F.struct(F.date_format(at, "yyyy-MM-dd").alias("day"), F.date_format(at, "HH:mm").alias("minute"))
+
+
+def sweep_number(at: Column) -> Column:
+    """The number of a sweep in its UTC day, two an hour."""
+    return F.hour(at) * 2 + F.when(F.minute(at) >= 30, 2).otherwise(1)

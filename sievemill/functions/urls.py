@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,9 +23,16 @@ SUFFIX_HOSTS = {
     ".applytojob.com": "jazzhr", ".pinpointhq.com": "pinpoint", ".recruitee.com": "recruitee", ".breezy.hr": "breezy", ".bamboohr.com": "bamboohr",
     ".teamtailor.com": "teamtailor", ".jobs.personio.com": "personio", ".jobs.personio.de": "personio",
 }
-RESERVED = "about api apply assets careers companies company embed en help home index job jobs login search signup static support us www".split()
+# Path segments and labels that are no board, so that the same tokens are refused.
+RESERVED = "www api en us jobs careers login signup about help support static assets embed search company companies job apply home index".split()
+# Platforms whose tokens hold a slash, and those whose tokens are addresses.
 LONG_TOKENS = ("workday", "oracle", "icims")
-URL = r"https?://[^\s\"'<>\])}]+"
+URL_TOKENS = ("careerpage", "successfactors")
+#: Files that every site has and that are no board.
+_SITE_FILES = r"(?i)/(?:robots\.txt|sitemap(?:_index)?\.xml|favicon\.ico|manifest\.json)$"
+#: The characters at which an address in running text ends, blanks aside.
+URL_ENDS = "\"'<>)]}"
+URL = rf"https?://[^\s{re.escape(URL_ENDS)}]+"
 
 
 def host_of(url: Column) -> Column:
@@ -65,6 +74,33 @@ def valid_token(kind: Column, token: Column) -> Column:
     return F.coalesce(F.when(kind.isin(*LONG_TOKENS), long).otherwise(short) & ~token.isin(*RESERVED), F.lit(False))
 
 
+def usable_token(kind: Column, token: Column) -> Column:
+    """As ``valid_token`` for a lower-case token of a directory: platforms whose boards are whole addresses
+    take those, and files that every site has are refused."""
+    address = token.rlike(r"^https://[a-z0-9][a-z0-9.-]*\.[a-z]{2,}(?:/\S*)?$")
+    return F.coalesce(F.when(kind.isin(*URL_TOKENS), address).otherwise(valid_token(kind, token)) & ~token.rlike(_SITE_FILES), F.lit(False))
+
+
+def extra_board_url(kind: Column, token: Column) -> Column:
+    """The address of a board of the platforms whose tokens have several parts; null for others."""
+    part = lambda i: F.split_part(token, F.lit("/"), F.lit(i))
+    base = F.regexp_replace(token, r"/+$", "")
+    several = F.contains(token, F.lit("/"))
+    pages = {
+        "hireology": F.concat(F.lit("https://careers.hireology.com/"), quoted(token)),
+        "adp": F.concat(F.lit("https://workforcenow.adp.com/mascsr/default/mdf/recruitment/recruitment.html?cid="), quoted(part(1)), F.lit("&ccId="), quoted(part(2)), F.lit("&lang=en_US")),
+        "dover": F.concat(F.lit("https://app.dover.com/careers/"), quoted(token)),
+        "ukg": F.when(several, F.concat(F.lit("https://"), part(1), F.lit("/"), part(2), F.lit("/JobBoard/"), quoted(part(3)), F.lit("/"))),
+        "successfactors": F.concat(base, F.lit("/search/")),
+        "brassring": F.concat(F.lit("https://sjobs.brassring.com/TGnewUI/Search/Home/Home?partnerid="), quoted(part(1)), F.lit("&siteid="), quoted(part(2))),
+        "phenom": F.concat(F.lit("https://"), base, F.when(F.contains(base, F.lit("/")), "").otherwise("/search-results")),
+        "paylocity": F.concat(F.lit("https://recruiting.paylocity.com/recruiting/jobs/All/"), quoted(token)),
+        "zoho": F.concat(F.lit("https://"), part(1), F.lit(".zohorecruit."), F.when(several, part(2)).otherwise("com"), F.lit("/jobs/Careers")),
+        "careerplug": F.concat(F.lit("https://"), quoted(token), F.lit(".careerplug.com/jobs")),
+    }
+    return F.coalesce(*[F.when(kind == name, page) for name, page in pages.items()])
+
+
 def board_of_url(url: Column) -> Column:
     """struct<kind, token> of a posting's address; null where it is no known board or no valid token."""
     host, path = host_of(url), path_of(url)

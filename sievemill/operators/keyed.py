@@ -9,24 +9,26 @@ from pyspark.sql import functions as F
 
 from sievemill.session import cut
 
+
 def first_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], *, keep_blank: bool = False) -> DataFrame:
     """One row a key, the first in ``order``; null keys are one key. With ``keep_blank`` rows whose keys are
-    all null or '' are kept as they are. min_by aggregates map-side, so a hot key costs one row a partition."""
+    all null or '' are kept as they are. Ties go to the row of the smaller hash, so the choice repeats.
+    min_by aggregates map-side, so a hot key costs one row a partition."""
     blank = None
     for k in keys:
         test = F.coalesce(F.col(k).cast("string"), F.lit("")) == ""
         blank = test if blank is None else blank & test
     keyed = rows.where(~blank) if keep_blank else rows
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
+    rank = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], F.xxhash64(*rows.columns).alias("tie"))
     one = keyed.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.min_by(whole, rank).alias("__row")).select("__row.*")
     return one.unionByName(rows.where(blank)) if keep_blank else one
 
 
 def last_wins(rows: DataFrame, keys: Sequence[str], seq: str) -> DataFrame:
-    """One row a key, the one with the highest ``seq``."""
+    """One row a key, the one with the highest ``seq``; ties go to the row of the greater hash."""
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    return rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(whole, F.col(seq)).alias("__row")).select("__row.*")
+    return rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg(F.max_by(whole, F.when(F.col(seq).isNotNull(), F.struct(F.col(seq).alias("seq"), F.xxhash64(*rows.columns).alias("tie")))).alias("__row")).select("__row.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,6 +66,6 @@ def top_per_key(rows: DataFrame, key: str, order: Sequence[Column], n: int) -> D
     return rows.withColumn("rank_no", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where(F.col("rank_no") <= n)
 
 
-def keep_recent(history: DataFrame, at: str, now: Column, days: int, most: int) -> DataFrame:
-    """Retention: the rows of the last ``days`` days, at most the ``most`` newest."""
-    return history.where(F.col(at) >= now - F.make_dt_interval(F.lit(days))).orderBy(F.desc(at)).limit(most)
+def keep_recent(history: DataFrame, at: str, now: Column, days: int, most: int, then: Sequence[Column] = ()) -> DataFrame:
+    """Retention: the rows of the last ``days`` days, at most the ``most`` newest, ties in the order ``then``."""
+    return history.where(F.col(at) >= now - F.make_dt_interval(F.lit(days))).orderBy(F.desc(at), *then).limit(most)

@@ -5,21 +5,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names up to which a list is broadcast for a theta join.
-LIST_BOUND = 100_000
+#: Characters of the beginning on which a text meets the names that hold it.
+KEY = 6
 
 
-def _bounded(names: DataFrame, bound: int) -> DataFrame:
-    n = names.count()
-    if n > bound:
-        raise ValueError(f"the list has {n} names; a theta join takes at most {bound}, use an equality join")
-    return F.broadcast(names)
+def contained_in(rows: DataFrame, names: DataFrame, subject: Column, name: str, *, anti: bool = False, bound: int | None = None) -> DataFrame:
+    """Rows whose subject equals, or is part of, a name of a list of any length.
 
-
-def contained_in(rows: DataFrame, names: DataFrame, subject: Column, name: str, *, anti: bool = False, bound: int = LIST_BOUND) -> DataFrame:
-    """Rows whose subject equals, or is part of, a name of a list (checked to be short)."""
-    listed = _bounded(names.select(F.col(name).alias("__name")).distinct(), bound)
-    return rows.withColumn("__s", subject).join(listed, F.contains("__name", "__s"), "left_anti" if anti else "left_semi").drop("__s")
+    Containment is an equality on pieces: the beginning of a distinct subject meets the pieces of that
+    length of the distinct names, and only those pairs are compared, so nothing is compared with every name
+    nor broadcast. The empty subject is part of any name; null subjects and names match nothing. With
+    ``bound`` longer lists are refused.
+    """
+    listed = names.select(F.col(name).alias("__name")).where("__name is not null").distinct()
+    if bound is not None and (n := listed.limit(bound + 1).count()) > bound:
+        raise ValueError(f"the list has {n} names or more; it may have at most {bound}")
+    length = F.length("__name")
+    of_size = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(length - k + 1, F.lit(1))), lambda i: F.substring("__name", i, k))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.least(length, F.lit(KEY))), of_size)))
+    index = listed.select("__name", F.explode_outer(pieces).alias("__piece"))
+    asked = rows.select(subject.alias("__s")).where("__s is not null").distinct().withColumn("__piece", F.substring("__s", 1, KEY))
+    held = asked.join(index, "__piece").where(F.contains("__name", "__s")).select("__s").distinct()
+    return rows.withColumn("__s", subject).join(held, "__s", "left_anti" if anti else "left_semi").drop("__s")
 
 
 def prefixes(name: Column, by_word: bool = True) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions.text import normal_company, normal_location
 from sievemill.operators.components import connected_components
+from sievemill.session import cut
 
 #: Least cosine of two titles.
 NEAR = 0.85
@@ -24,9 +25,11 @@ def terms(c: Column) -> Column:
 def near_pairs(rows: DataFrame, near: float = NEAR) -> DataFrame:
     """(a, b, cosine) of ids with equal normal company and location and titles of that cosine.
 
-    Equal titles of one company and place are one class; only classes are compared, term by term: products
-    of counts are summed over shared terms, so pairs without a common term never form. A member meets
-    the class through its smallest id.
+    Equal titles of one company and place are one class; only classes are compared. Terms are ordered from
+    rare to common over all titles, and a title is indexed by its first ones, up to where the rest alone
+    is too short for the least cosine: two titles that are near share one of those, so common words alone
+    bring no pair together. Products of counts are then summed over the shared terms of the pairs found. A
+    member meets the class through its smallest id.
     """
     base = rows.select("id", normal_company(F.col("company")).alias("c"), normal_location(F.col("location")).alias("l"), F.lower(F.coalesce("title", F.lit(""))).alias("t")).where("id is not null and c <> ''").distinct()
     classes = base.groupBy("c", "l", "t").agg(F.min("id").alias("head"))
@@ -34,8 +37,14 @@ def near_pairs(rows: DataFrame, near: float = NEAR) -> DataFrame:
     counts = classes.join(several, ["c", "l"], "left_semi").withColumn("term", F.explode(terms(F.col("t")))).groupBy("c", "l", "head", "term").agg(F.count(F.lit(1)).alias("tf"))
     norms = counts.groupBy("head").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"))
     weighed = counts.join(norms, "head").select("c", "l", "term", "head", (F.col("tf") / F.col("norm")).alias("w"))
-    one, two = weighed.withColumnsRenamed({"head": "a", "w": "wa"}), weighed.withColumnsRenamed({"head": "b", "w": "wb"})
-    across = one.join(two, ["c", "l", "term"]).where("a < b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine")).where(F.col("cosine") >= near)
+    weighed = cut(weighed)
+    rarity = weighed.groupBy("term").agg(F.count(F.lit(1)).alias("titles"))
+    order = Window.partitionBy("head").orderBy("titles", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    rest = F.sum(F.col("w") * F.col("w")).over(order)
+    index = weighed.join(rarity, "term").withColumn("rest", rest).where(F.col("rest") >= near * near - 1e-9).select("c", "l", "term", "head")
+    met = index.withColumnRenamed("head", "a").join(index.withColumnRenamed("head", "b"), ["c", "l", "term"]).where("a < b").select("a", "b").distinct()
+    one, two = (weighed.select(F.col("head").alias(x), "term", F.col("w").alias(f"w{x}")) for x in "ab")
+    across = met.join(one, "a").join(two, ["b", "term"]).groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 9).alias("cosine")).where(F.col("cosine") >= near)
     inside = base.join(classes, ["c", "l", "t"]).where((F.col("id") != F.col("head")) & (F.size(terms(F.col("t"))) > 0)).select(F.col("head").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("cosine"))
     return across.unionByName(inside)
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievemill.functions.text import numeric_hash
+from sievemill.functions.urls import board_key
+from sievemill.sources.files import read_or_empty
 
 
 def hot_boards(jobs: DataFrame, now: Column, days: int) -> DataFrame:
@@ -26,11 +28,27 @@ def tiers(boards: DataFrame, hot: DataFrame, slices: int, index: int) -> DataFra
 
 def board_yield(statuses: DataFrame) -> DataFrame:
     """Per board the checks, the postings found and their ratio."""
-    key = F.concat_ws(":", "type", F.lower(F.coalesce("token", F.lit(""))))
+    key = board_key(F.col("type"), F.col("token"))
     per = statuses.groupBy(key.alias("boardkey")).agg(F.count(F.lit(1)).alias("checks"), F.sum(F.coalesce(F.col("matched").cast("bigint"), F.lit(0))).alias("found"))
     return per.withColumn("yield", F.col("found") / F.col("checks"))
 
 
+def merged_yield(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The yields of ``old`` with the checks and postings of ``fresh`` added: sums of both, so a sweep is
+    merged without reading those before it."""
+    per = old.select("boardkey", "checks", "found").unionByName(fresh.select("boardkey", "checks", "found")).groupBy("boardkey").agg(F.sum("checks").alias("checks"), F.sum("found").alias("found"))
+    return per.withColumn("yield", F.col("found") / F.col("checks"))
+
+
+def next_rotation(spark: SparkSession, path: str, slices: int) -> int:
+    """The slice of this sweep; the next one is written to ``path``, a file that the writer's commit makes
+    whole. Without a file, or with one that cannot be read, the rotation starts at 0."""
+    state = read_or_empty(spark, path, "rotationIdx bigint").first()
+    index = (state["rotationIdx"] or 0) % slices if state else 0
+    spark.createDataFrame([((index + 1) % slices,)], "rotationIdx bigint").coalesce(1).write.mode("overwrite").json(path)
+    return index
+
+
 def by_yield(boards: DataFrame, yields: DataFrame) -> DataFrame:
     """The boards, best yield first (0 for unknown ones), then by key; a distributed sort."""
     known = yields.select("boardkey", "yield")

@@ -20,8 +20,7 @@ def survivors(previous: DataFrame, ok_boards: DataFrame, now: Column, hours: int
 def merged(current: DataFrame, previous: DataFrame, ok_boards: DataFrame, now: Column, hours: int = KEEP_HOURS) -> DataFrame:
     """Current rows and survivors, one row an id: a fresh row before a stale one, then the latest check."""
     both = current.withColumn("stale", F.lit(False)).unionByName(survivors(previous, ok_boards, now, hours).select(*current.columns, "stale"))
-    fields = F.to_json(F.struct(*current.columns))
-    return first_wins(both.where("id is not null"), ["id"], [F.col("stale").cast("int"), -F.unix_micros("checked"), fields])
+    return first_wins(both.where("id is not null"), ["id"], [F.col("stale").cast("int"), -F.unix_micros("checked")])
 
 
 def carried(rows: DataFrame, previous: DataFrame, field: str, *, previous_first: bool = False, fallback: Column | None = None) -> DataFrame:
@@ -40,3 +39,8 @@ def repaired(rows: DataFrame, repairs: DataFrame, field: str, repair: str) -> Da
 def clamped(rows: DataFrame, field: str, now: Column, days: int, only: Column) -> DataFrame:
     """``field`` null where ``only`` holds and it is older than ``days`` days."""
     return rows.withColumn(field, F.when(~(F.coalesce(only, F.lit(False)) & F.coalesce(F.col(field) < now - F.make_dt_interval(F.lit(days)), F.lit(False))), F.col(field)))
+
+
+def clamped_to(rows: DataFrame, field: str, latest: Column) -> DataFrame:
+    """``field`` no later than ``latest``; null stays null."""
+    return rows.withColumn(field, F.when(F.col(field) > latest, latest).otherwise(F.col(field)))

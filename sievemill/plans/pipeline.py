@@ -7,9 +7,10 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievemill.functions.urls import board_key
 from sievemill.operators import selection, snapshot_merge
 from sievemill.plans.registry import QUERIES, query
-from sievemill.plans.relational import _HASH, _KEY, _SWEEP, _latest
+from sievemill.plans.relational import _HASH, _KEY, _SWEEP, _latest, _of_last
 from sievemill.plans.sourcing import _folder
 from sievemill.session import table
 from sievemill.sources import sinks
@@ -24,7 +25,7 @@ def _now() -> Column:
 
 def _ok(board_statuses: DataFrame) -> DataFrame:
     last = board_statuses.agg(F.max("sweep_no").alias("sweep_no"))
-    return board_statuses.where("ok").join(F.broadcast(last), "sweep_no").select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey")).distinct()
+    return board_statuses.where("ok").join(F.broadcast(last), "sweep_no").select(board_key(F.col("type"), F.col("token")).alias("boardkey")).distinct()
 
 
 _OK = f"(SELECT DISTINCT {_KEY} AS boardkey FROM board_statuses WHERE ok AND sweep_no = (SELECT max(sweep_no) FROM board_statuses))"
@@ -45,7 +46,7 @@ def t04_survivors(sweep_jobs: DataFrame, board_statuses: DataFrame) -> DataFrame
 
 
 def _cut(sweep_jobs: DataFrame, back: int) -> DataFrame:
-    rows = _latest(sweep_jobs, back).select("id", "boardkey", "title", "checked", "firstseen")
+    rows = _latest(sweep_jobs, back, "boardkey", "title", "firstseen").select("id", "boardkey", "title", "checked", "firstseen")
     return rows.withColumn("firstseen", F.col("firstseen").try_cast("timestamp"))
 
 
@@ -83,6 +84,21 @@ def t08_clamped(sweep_jobs: DataFrame) -> DataFrame:
     return snapshot_merge.clamped(_cut(sweep_jobs, 0), "firstseen", _now(), 30, F.col("boardkey").startswith("workday:")).select("id", "firstseen")
 
 
+@query("jobs", sql="SELECT DISTINCT id, CASE WHEN checked > firstseen THEN firstseen ELSE checked END AS checked FROM jobs")
+def t08_clamped_to_first(jobs: DataFrame) -> DataFrame:
+    """An instant no later than the first sight."""
+    return snapshot_merge.clamped_to(jobs.select("id", "checked", "firstseen"), "checked", F.col("firstseen")).select("id", "checked").distinct()
+
+
+@query("sweep_jobs", sql=f"""
+WITH c AS (SELECT id, CAST(CAST(firstseen AS TIMESTAMPTZ) AS TIMESTAMP) AS f FROM {_SWEEP.format(0)}), p AS (SELECT id, CAST(CAST(firstseen AS TIMESTAMPTZ) AS TIMESTAMP) AS f FROM {_SWEEP.format(1)})
+SELECT c.id, c.f IS DISTINCT FROM p.f AS reassessed FROM c LEFT JOIN p USING (id)""")
+def t12_reassessed(sweep_jobs: DataFrame) -> DataFrame:
+    """Postings whose first sight changed since the sweep before, which are assessed again."""
+    was = _cut(sweep_jobs, 1).select("id", F.col("firstseen").alias("was"))
+    return _cut(sweep_jobs, 0).join(was, "id", "left").select("id", (~F.col("firstseen").eqNullSafe(F.col("was"))).alias("reassessed"))
+
+
 @query("events", sql="SELECT hour(ts) % 4 AS slot, count(*) AS n FROM events GROUP BY 1")
 def t11_rotation_slot(events: DataFrame) -> DataFrame:
     return events.groupBy(sweeps.rotation_slot(F.col("ts"), 4).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
@@ -92,9 +108,37 @@ def t11_rotation_slot(events: DataFrame) -> DataFrame:
 WITH s AS (SELECT DISTINCT type, token FROM board_statuses)
 SELECT type, token FROM s WHERE NOT EXISTS (SELECT 1 FROM boards b WHERE b.type = s.type AND b.token = s.token AND b.from_extra)""")
 def k06_merge_discovered(board_statuses: DataFrame, boards: DataFrame) -> DataFrame:
-    lists = board_statuses.select("company", "type", "token")
-    half = lists.where("type < 'm'").dropDuplicates(["type", "token"])
-    return sinks.merge_discovered(half, lists.where("type >= 'h'"), boards.where("from_extra")).select("type", "token")
+    """The boards of the last sweep as found, those of the sweeps before as known."""
+    marked = _of_last(board_statuses)
+    known = marked.where("not is_last").dropDuplicates(["type", "token"])
+    return sinks.merge_discovered(known, marked.where("is_last"), boards.where("from_extra")).select("type", "token")
+
+
+def t03_rotation(spark: SparkSession, d: str) -> DataFrame:
+    """Three sweeps of a rotation by five whose cursor lies in a file: the boards each of them visits."""
+    boards, state = table(spark, d, "boards"), os.path.join(_folder(spark), "state")
+    none = spark.createDataFrame([], "boardkey string")
+    out = None
+    for sweep in range(3):
+        chosen = selection.tiers(boards.withColumn("from_extra", F.lit(False)), none, 5, selection.next_rotation(spark, state, 5)).where("tier = 'slice'")
+        part = chosen.groupBy(F.lit(sweep).alias("sweep")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("boardkey").alias("boards"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def t02_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Sweeps repeated within an hour of a clock of its own that each of them moves by 400 seconds: every
+    one reads the table and adds what it saw to the sums of those before (T02, A11)."""
+    statuses, clock, seen = table(spark, d, "board_statuses"), [0.0], []
+
+    def sweep() -> None:
+        row = statuses.where(F.col("sweep_no") % 8 == len(seen) % 8).agg(F.count(F.lit(1)).alias("boards"), F.coalesce(F.sum(F.col("matched").cast("bigint")), F.lit(0)).alias("jobs")).first()
+        before = seen[-1] if seen else (0, 0, 0)
+        seen.append((before[0] + 1, before[1] + row["boards"], before[2] + row["jobs"]))
+        clock[0] += 400
+
+    sweeps.within_budget(sweep, 1.0, clock=lambda: clock[0])
+    return spark.createDataFrame(seen, "iteration bigint, boards bigint, jobs bigint")
 
 
 def k02_snapshot(spark: SparkSession, d: str) -> DataFrame:
@@ -149,11 +193,15 @@ def t12_stream_windows(spark: SparkSession, d: str) -> DataFrame:
     return windows.select("window_start", "event_type", "n")
 
 
-for _f in (k02_snapshot, k07_rescored, t02_stream_sweeps, t09_stream_first_seen, t12_stream_windows, t12_stream_windows_whole):
+for _f in (t03_rotation, t02_budget, k02_snapshot, k07_rescored, t02_stream_sweeps, t09_stream_first_seen, t12_stream_windows, t12_stream_windows_whole):
     QUERIES[_f.__name__] = _f
 
 from sievemill.plans.registry import SQL  # noqa: E402
 
+SQL["t03_rotation"] = f"SELECT sweep, count(*) AS n, count(DISTINCT boardkey) AS boards FROM boards, (SELECT CAST(unnest([0, 1, 2]) AS INT) AS sweep) WHERE {_HASH} % 5 = sweep GROUP BY sweep"
+SQL["t02_budget"] = """
+WITH i AS (SELECT unnest(range(8)) AS k), s AS (SELECT k, count(sweep_no) AS boards, coalesce(sum(matched), 0) AS jobs FROM i LEFT JOIN board_statuses ON sweep_no % 8 = k GROUP BY k)
+SELECT k + 1 AS iteration, CAST(sum(boards) OVER (ORDER BY k) AS BIGINT) AS boards, CAST(sum(jobs) OVER (ORDER BY k) AS BIGINT) AS jobs FROM s"""
 SQL["k02_snapshot"] = "SELECT source, count(*) AS n, count(DISTINCT id) AS ids FROM jobs GROUP BY source"
 SQL["k07_rescored"] = "SELECT CASE WHEN fitscore >= 70 THEN 'high' ELSE 'rest' END AS band, count(*) AS n FROM jobs GROUP BY 1"
 SQL["t02_stream_sweeps"] = "SELECT sweep_no, count(*) AS n, count(DISTINCT id) AS ids FROM sweep_jobs GROUP BY sweep_no"

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievemill.functions.dates import iso_instant
 from sievemill.functions.text import core_name, core_words, normal_company, token_guesses
+from sievemill.functions.urls import board_key
 from sievemill.operators import keyed, matching, selection
 from sievemill.operators.components import connected_components
 from sievemill.operators.near_titles import canonical, near_pairs
@@ -14,16 +16,16 @@ from sievemill.plans.registry import query
 
 _NORMAL = "trim(regexp_replace(replace(lower(coalesce(company, '')), '&', ' and '), '[^a-z0-9]+', ' ', 'g'))"
 _LIST = "trim(regexp_replace(lower(coalesce(company, '')), '[^a-z0-9]+', ' ', 'g'))"
-_LEGAL = "['inc','llc','ltd','corp','corporation','company','co','group','holdings','the','of','and']"
+_LEGAL = "['inc','llc','corp','corporation','company','co','ltd','plc','group','holdings','holding','technologies','technology','systems','system','international','global','industries','enterprises','the','and','of']"
 _CORE = f"array_to_string(list_filter(string_split({_NORMAL}, ' '), lambda w: w <> '' AND NOT list_contains({_LEGAL}, w)), ' ')"
 _KEY = "concat(type, ':', lower(coalesce(token, '')))"
 
 
-def _latest(sweep_jobs: DataFrame, back: int) -> DataFrame:
-    """The rows of the sweep ``back`` places before the last one, one an id."""
+def _latest(sweep_jobs: DataFrame, back: int, *columns: str) -> DataFrame:
+    """The rows of the sweep ``back`` places before the last one, one an id; of all columns or some."""
     nos = sweep_jobs.agg(F.array_sort(F.collect_set("sweep_no")).alias("nos")).select(F.element_at("nos", -1 - back).alias("sweep_no"))
-    rows = sweep_jobs.join(F.broadcast(nos), "sweep_no")
-    return keyed.first_wins(rows, ["id"], [-F.unix_micros("checked"), F.to_json(F.struct(*rows.columns))])
+    lean = sweep_jobs.select("sweep_no", "id", "checked", *[c for c in columns if c not in ("sweep_no", "id", "checked")]) if columns else sweep_jobs
+    return keyed.first_wins(lean.join(F.broadcast(nos), "sweep_no"), ["id"], [-F.unix_micros("checked")])
 
 
 _SWEEP = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY checked DESC, firstseen, title) AS rn FROM sweep_jobs WHERE sweep_no = (SELECT sweep_no FROM (SELECT DISTINCT sweep_no FROM sweep_jobs ORDER BY 1 DESC LIMIT 1 OFFSET {}))) WHERE rn = 1)"""
@@ -31,7 +33,7 @@ _SWEEP = """(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER B
 
 @query("sweep_jobs", sql=f"SELECT c.id, coalesce(p.title, c.title) AS title, p.id IS NOT NULL AS known FROM (SELECT DISTINCT id, title FROM {_SWEEP.format(0)}) c LEFT JOIN {_SWEEP.format(1)} p ON p.id = c.id")
 def j01_previous_by_id(sweep_jobs: DataFrame) -> DataFrame:
-    now, before = _latest(sweep_jobs, 0), _latest(sweep_jobs, 1)
+    now, before = _latest(sweep_jobs, 0, "title"), _latest(sweep_jobs, 1, "title")
     prior = before.select("id", F.col("title").alias("was"), F.lit(True).alias("known"))
     return now.select("id", "title").join(prior, "id", "left").select("id", F.coalesce("was", "title").alias("title"), F.coalesce("known", F.lit(False)).alias("known"))
 
@@ -48,14 +50,14 @@ def j02_repair_if_earlier(jobs: DataFrame, boards: DataFrame) -> DataFrame:
 SELECT DISTINCT id FROM jobs j WHERE NOT EXISTS (SELECT 1 FROM board_statuses s WHERE s.sweep_no = (SELECT max(sweep_no) FROM board_statuses) AND s.ok AND {_KEY.replace('type', 's.type').replace('token', 's.token')} = j.boardkey)""")
 def j03_boards_without_success(jobs: DataFrame, board_statuses: DataFrame) -> DataFrame:
     last = board_statuses.agg(F.max("sweep_no").alias("sweep_no"))
-    ok = board_statuses.where("ok").join(F.broadcast(last), "sweep_no").select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey")).distinct()
+    ok = board_statuses.where("ok").join(F.broadcast(last), "sweep_no").select(board_key(F.col("type"), F.col("token")).alias("boardkey")).distinct()
     return jobs.join(ok, "boardkey", "left_anti").select("id").distinct()
 
 
 @query("jobs", "board_statuses", sql=f"""
 SELECT DISTINCT j.id, s.sweep_no FROM jobs j JOIN board_statuses s ON {_KEY.replace('type', 's.type').replace('token', 's.token')} = j.boardkey AND NOT s.ok AND j.checked >= s.checkedat - INTERVAL 24 HOUR""")
 def j04_failed_and_young(jobs: DataFrame, board_statuses: DataFrame) -> DataFrame:
-    bad = board_statuses.where("not ok").select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey"), "sweep_no", "checkedat").distinct()
+    bad = board_statuses.where("not ok").select(board_key(F.col("type"), F.col("token")).alias("boardkey"), "sweep_no", "checkedat").distinct()
     return jobs.select("id", "boardkey", "checked").distinct().join(bad, "boardkey").where(F.col("checked") >= F.col("checkedat") - F.expr("INTERVAL 24 HOURS")).select("id", "sweep_no").distinct()
 
 
@@ -68,7 +70,7 @@ def j05_hot_boards(boards: DataFrame, jobs: DataFrame) -> DataFrame:
 @query("board_statuses", "boards", sql=f"SELECT DISTINCT {_KEY} AS boardkey FROM board_statuses WHERE sweep_no = (SELECT min(sweep_no) FROM board_statuses) AND {_KEY} NOT IN (SELECT boardkey FROM boards WHERE boardkey IS NOT NULL AND from_extra)")
 def j06_not_in_directory(board_statuses: DataFrame, boards: DataFrame) -> DataFrame:
     first = board_statuses.join(F.broadcast(board_statuses.agg(F.min("sweep_no").alias("sweep_no"))), "sweep_no")
-    seen = first.select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey")).distinct()
+    seen = first.select(board_key(F.col("type"), F.col("token")).alias("boardkey")).distinct()
     return seen.join(boards.where("from_extra").select("boardkey"), "boardkey", "left_anti")
 
 
@@ -221,6 +223,45 @@ def a13_components(jobs: DataFrame) -> DataFrame:
     return connected_components(jobs.select(F.col("id").alias("a"), F.col("duplicateof").alias("b")))
 
 
+def _of_last(board_statuses: DataFrame) -> DataFrame:
+    """The rows with ``is_last`` for those of the last sweep."""
+    last = board_statuses.agg(F.max("sweep_no").alias("sweep_no")).withColumn("is_last", F.lit(True))
+    return board_statuses.join(F.broadcast(last), "sweep_no", "left").withColumn("is_last", F.coalesce("is_last", F.lit(False)))
+
+
+@query("board_statuses", sql=f"SELECT {_KEY} AS boardkey, count(*) AS checks, CAST(sum(coalesce(matched, 0)) AS BIGINT) AS found, sum(coalesce(matched, 0)) / count(*) AS yield FROM board_statuses GROUP BY 1")
+def a03_yield_merged(board_statuses: DataFrame) -> DataFrame:
+    """The yields of all sweeps but the last one, with those of the last one added."""
+    marked = _of_last(board_statuses)
+    return selection.merged_yield(selection.board_yield(marked.where("not is_last")), selection.board_yield(marked.where("is_last")))
+
+
+@query("board_statuses", "jobs", sql="""
+SELECT count(*) AS attempted, count(*) FILTER (WHERE ok) AS success, count(*) FILTER (WHERE NOT ok) AS failed, (SELECT count(*) FROM jobs WHERE fit) AS fit, (SELECT count(*) FROM jobs WHERE within7d AND NOT coalesce(stale, false)) AS recent7d
+FROM board_statuses WHERE sweep_no = (SELECT max(sweep_no) FROM board_statuses)""")
+def a05_coverage_row(board_statuses: DataFrame, jobs: DataFrame) -> DataFrame:
+    """The coverage of the last sweep in one row: boards by outcome, and the postings that fit and are recent."""
+    none = F.lit(0).cast("bigint")
+    last = board_statuses.agg(F.max("sweep_no").alias("sweep_no"))
+    boards = board_statuses.join(F.broadcast(last), "sweep_no").agg(F.count(F.lit(1)).alias("attempted"), F.count_if("ok").alias("success"), F.count_if(~F.col("ok")).alias("failed"))
+    rows = jobs.agg(F.count_if("fit").alias("fit"), F.count_if(F.col("within7d") & ~F.coalesce("stale", F.lit(False))).alias("recent7d"))
+    both = boards.select("*", none.alias("fit"), none.alias("recent7d")).unionByName(rows.select(none.alias("attempted"), none.alias("success"), none.alias("failed"), "fit", "recent7d"))
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+
+
+@query("sweep_jobs", sql="""
+WITH s AS (SELECT sweep_no, lag(min(sweep_at)) OVER (ORDER BY sweep_no) AS began FROM sweep_jobs GROUP BY 1)
+SELECT sweep_no, count(*) FILTER (WHERE n) AS new_jobs, count(*) FILTER (WHERE n AND regexp_matches(company, '(?i)education')) AS education, count(*) AS total
+FROM (SELECT j.sweep_no, j.company, CAST(CAST(j.firstseen AS TIMESTAMPTZ) AS TIMESTAMP) >= s.began AS n FROM sweep_jobs j JOIN s USING (sweep_no)) GROUP BY 1""")
+def a07_sweep_new(sweep_jobs: DataFrame) -> DataFrame:
+    """Of each sweep the postings first seen since the one before, and those of a kind among them."""
+    # One row a sweep: the window's single partition is as long as the list of sweeps.
+    began = sweep_jobs.groupBy("sweep_no").agg(F.min("sweep_at").alias("at")).select("sweep_no", F.lag("at").over(Window.orderBy("sweep_no")).alias("began"))
+    new = F.col("firstseen").try_cast("timestamp") >= F.col("began")
+    rows = sweep_jobs.select("sweep_no", "company", "firstseen").join(F.broadcast(began), "sweep_no")  # one row a sweep
+    return rows.groupBy("sweep_no").agg(F.count_if(new).alias("new_jobs"), F.count_if(new & F.col("company").rlike("(?i)education")).alias("education"), F.count(F.lit(1)).alias("total"))
+
+
 # Order, choice and limits
 
 
@@ -231,7 +272,7 @@ def o01_first_wins(boards: DataFrame) -> DataFrame:
 
 @query("board_statuses", sql=f"SELECT {_KEY} AS boardkey, arg_max(matched, checkedat) AS matched, max(checkedat) AS checkedat FROM board_statuses WHERE ok GROUP BY 1")
 def o02_last_wins(board_statuses: DataFrame) -> DataFrame:
-    keyed_rows = board_statuses.where("ok").select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey"), "matched", "checkedat").distinct()
+    keyed_rows = board_statuses.where("ok").select(board_key(F.col("type"), F.col("token")).alias("boardkey"), "matched", "checkedat").distinct()
     return keyed.last_wins(keyed_rows, ["boardkey"], "checkedat")
 
 
@@ -241,6 +282,39 @@ def o03_snapshot_order(jobs: DataFrame) -> DataFrame:
     return keyed.number_rows(rows, [~F.coalesce("fit", F.lit(False)), F.col("firstseen").isNull(), -F.unix_micros("firstseen"), F.col("id")], "position").select("id", "fit", "position")
 
 
+@query("jobs", sql="""
+WITH p AS (SELECT DISTINCT id, fit, firstseen, CASE WHEN regexp_matches(trim(published), '^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9:.]+Z$') THEN CAST(try_cast(trim(published) AS TIMESTAMPTZ) AS TIMESTAMP) END AS stated FROM jobs)
+SELECT id, row_number() OVER (ORDER BY coalesce(fit, false) DESC, coalesce(stated, firstseen) DESC NULLS LAST, id) - 1 AS position FROM p""")
+def o03_order_published(jobs: DataFrame) -> DataFrame:
+    """Fitting postings first, then by the stated instant, or the first sight where none is stated."""
+    stated = F.when(F.trim("published").rlike(r"^\d{4}-\d{2}-\d{2}T[\d:.]+Z$"), iso_instant(F.col("published")))
+    rows = jobs.select("id", "fit", "firstseen", F.coalesce(stated, "firstseen").alias("at")).distinct()
+    return keyed.number_rows(rows, [~F.coalesce("fit", F.lit(False)), F.col("at").isNull(), -F.unix_micros("at"), F.col("id")], "position").select("id", "position")
+
+
+@query("boards", "jobs", sql=f"""
+WITH l AS (SELECT DISTINCT {_CORE} AS b FROM jobs), c AS (SELECT DISTINCT company, {_CORE} AS a FROM boards WHERE company IS NOT NULL),
+r AS (SELECT company, CASE WHEN a <> '' AND EXISTS (SELECT 1 FROM l WHERE b <> '' AND {_PREFIX}) THEN 0 ELSE 1 END AS rank FROM c)
+SELECT company, rank, row_number() OVER (ORDER BY rank, company) - 1 AS position FROM r""")
+def o08_priority_sort(boards: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Names that match a listed one first, each part in its own order."""
+    ranked = j11_prefix_rank(boards, jobs)
+    names = boards.select("company").where("company is not null").distinct().join(ranked, "company", "left").select("company", F.coalesce("rank", F.lit(1)).alias("rank"))
+    return keyed.number_rows(names, [F.col("rank"), F.col("company")], "position").select("company", "rank", "position")
+
+
+@query("board_statuses", sql="""
+WITH e AS (SELECT CAST(date_trunc('day', checkedat) AS DATE) AS day, sweep_no, count(*) AS boards FROM board_statuses WHERE checkedat IS NOT NULL GROUP BY 1, 2)
+SELECT day, sweep_no, boards, row_number() OVER (ORDER BY day, sweep_no) - 1 AS position FROM e""")
+def o10_history(board_statuses: DataFrame) -> DataFrame:
+    """A history by day and sweep: the entries of the last sweep replace older ones of the same key, then it is sorted."""
+    per = lambda rows: rows.groupBy(F.to_date("checkedat").alias("day"), "sweep_no").agg(F.count(F.lit(1)).alias("boards"))
+    timed = board_statuses.where("checkedat is not null")
+    marked = _of_last(timed)
+    fresh, old = per(marked.where("is_last")), per(timed)
+    return keyed.number_rows(keyed.upsert(old, fresh, ["day", "sweep_no"]), [F.col("day"), F.col("sweep_no")], "position").select("day", "sweep_no", "boards", "position")
+
+
 @query("jobs")
 def o04_canonical(jobs: DataFrame) -> DataFrame:
     """Each near-duplicate with the canonical posting of its cluster; tested by brute force."""
@@ -285,8 +359,8 @@ def o09_caps(jobs: DataFrame) -> DataFrame:
 @query("board_statuses", sql="SELECT DISTINCT checkedat, company, type, token FROM board_statuses WHERE checkedat >= TIMESTAMP '2025-11-05 00:00:00' ORDER BY checkedat DESC, company, type, token LIMIT 400")
 def o11_retention(board_statuses: DataFrame) -> DataFrame:
     """The history's limits: so many days, so many rows."""
-    rows = board_statuses.select("checkedat", "company", "type", "token").distinct().where(F.col("checkedat") >= F.lit("2025-11-05 00:00:00").cast("timestamp"))
-    return rows.orderBy(F.desc("checkedat"), "company", "type", "token").limit(400)
+    rows = board_statuses.select("checkedat", "company", "type", "token").distinct()
+    return keyed.keep_recent(rows, "checkedat", F.lit("2025-11-19 00:00:00").cast("timestamp"), 14, 400, [F.col("company"), F.col("type"), F.col("token")])
 
 
 # Sets
@@ -294,7 +368,7 @@ def o11_retention(board_statuses: DataFrame) -> DataFrame:
 
 @query("boards", "board_statuses", sql=f"SELECT boardkey, min(company) AS company FROM (SELECT boardkey, company FROM boards UNION ALL SELECT {_KEY}, company FROM board_statuses) GROUP BY 1")
 def u01_union_then_first(boards: DataFrame, board_statuses: DataFrame) -> DataFrame:
-    other = board_statuses.select(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey"), "company")
+    other = board_statuses.select(board_key(F.col("type"), F.col("token")).alias("boardkey"), "company")
     return keyed.first_wins(boards.select("boardkey", "company").unionByName(other), ["boardkey"], [F.col("company")])
 
 
@@ -315,11 +389,20 @@ def u04_in_both_scans(sweep_jobs: DataFrame) -> DataFrame:
     return marked.groupBy("id").agg(F.count_distinct("sweep_no").alias("n")).where("n = 2").select("id")
 
 
+@query("jobs", sql="""
+SELECT id, title FROM (SELECT DISTINCT id, title FROM jobs ORDER BY title, id LIMIT 1500) UNION SELECT id, title FROM (SELECT DISTINCT id, title FROM jobs ORDER BY id DESC, title LIMIT 1500)""")
+def u04_two_orders(jobs: DataFrame) -> DataFrame:
+    """What two scans in different orders, each of thirty pages of fifty, bring together, repeats once."""
+    rows = jobs.select("id", "title").distinct()
+    one, two = rows.orderBy(F.asc_nulls_last("title"), F.asc_nulls_last("id")).limit(1500), rows.orderBy(F.desc_nulls_first("id"), F.asc_nulls_last("title")).limit(1500)
+    return one.union(two).distinct()
+
+
 @query("boards", "board_statuses", sql=f"""
 WITH s AS (SELECT {_KEY} AS boardkey, max(company) AS company FROM board_statuses GROUP BY 1)
 SELECT boardkey, company FROM s UNION ALL SELECT boardkey, min(company) FROM boards WHERE boardkey NOT IN (SELECT boardkey FROM s) GROUP BY boardkey""")
 def u05_upsert(boards: DataFrame, board_statuses: DataFrame) -> DataFrame:
-    fresh = board_statuses.groupBy(F.concat(F.col("type"), F.lit(":"), F.lower(F.coalesce("token", F.lit("")))).alias("boardkey")).agg(F.max("company").alias("company"))
+    fresh = board_statuses.groupBy(board_key(F.col("type"), F.col("token")).alias("boardkey")).agg(F.max("company").alias("company"))
     old = boards.groupBy("boardkey").agg(F.min("company").alias("company"))
     return keyed.upsert(old, fresh, ["boardkey"])
 
@@ -334,32 +417,24 @@ def x01_as_of_join(events: DataFrame) -> DataFrame:
     return matching.as_of(events.where("event_type <> 'purchase'").select("event_id", "user_id", "ts"), bought, "user_id", "ts", "at", "bought_at").select("event_id", F.col("as_of_bought_at").alias("bought_at"))
 
 
-def _points_in_spans(events: DataFrame, orders: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Events, moved to begin with the first order, within the days of the chosen orders."""
-    s = lambda c: F.floor(F.unix_micros(c) / F.lit(1_000_000)).cast("bigint")
-    spans = chosen.select("o_orderkey", s("o_orderdate").alias("a"), (s("o_orderdate") + 86400).alias("b"))
-    base = events.agg(F.min(s("ts")).alias("e0")).withColumn("one", F.lit(1)).join(orders.agg(F.min(s("o_orderdate")).alias("o0")).withColumn("one", F.lit(1)), "one")
-    points = events.withColumn("one", F.lit(1)).join(F.broadcast(base), "one").select("event_id", (s("ts") - F.col("e0") + F.col("o0")).alias("at"))
+def _points_in_spans(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Events, moved to begin with the first order, within the days of the orders; seconds to the nearest."""
+    s = lambda c: F.bround(F.unix_micros(c) / F.lit(1e6), 0).cast("bigint")
+    spans = orders.select("o_orderkey", s("o_orderdate").alias("a"), (s("o_orderdate") + 86400).alias("b"))
+    # Two numbers, the least of each table.
+    first = [df.agg(F.min(s(c))).first()[0] for df, c in ((events, "ts"), (orders, "o_orderdate"))]
+    moved = F.lit(None).cast("bigint") if None in first else s("ts") + F.lit(first[1] - first[0])
+    points = events.select("event_id", moved.alias("at"))
     return matching.range_join(points, spans, "at", "a", "b", 86400).select("event_id", "o_orderkey")
 
 
-@query("events", "orders", sql="""
-WITH spans AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS b FROM orders WHERE o_orderkey % 50 = 0),
-shifted AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) - (SELECT min(CAST(epoch(ts) AS BIGINT)) FROM events) + (SELECT min(CAST(epoch(o_orderdate) AS BIGINT)) FROM orders) AS tick FROM events)
-SELECT event_id, o_orderkey FROM shifted JOIN spans ON tick >= a AND tick < b""")
-def x02_range_join(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Points within spans by bins: the orders whose key is a multiple of 50 are this report's spans, as its SQL
-    has it; x02_range_join_whole takes all orders."""
-    return _points_in_spans(events, orders, orders.where("o_orderkey % 50 = 0"))
-
-
 @query("events", "orders", sql="""
 WITH spans AS (SELECT o_orderkey, CAST(epoch(o_orderdate) AS BIGINT) AS a, CAST(epoch(o_orderdate) AS BIGINT) + 86400 AS b FROM orders),
 shifted AS (SELECT event_id, CAST(epoch(ts) AS BIGINT) - (SELECT min(CAST(epoch(ts) AS BIGINT)) FROM events) + (SELECT min(CAST(epoch(o_orderdate) AS BIGINT)) FROM orders) AS tick FROM events)
 SELECT event_id, o_orderkey FROM shifted JOIN spans ON tick >= a AND tick < b""")
-def x02_range_join_whole(events: DataFrame, orders: DataFrame) -> DataFrame:
-    """Points within the spans of all orders."""
-    return _points_in_spans(events, orders, orders)
+def x02_range_join(events: DataFrame, orders: DataFrame) -> DataFrame:
+    """Points within the spans of all orders, by bins."""
+    return _points_in_spans(events, orders)
 
 
 @query("jobs", sql="SELECT source, workplace, count(*) AS n FROM jobs GROUP BY CUBE (source, workplace)")
@@ -372,8 +447,6 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id
 s AS (SELECT user_id, ts, sum(opens) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session_no FROM g)
 SELECT user_id, CAST(session_no AS BIGINT) AS session_no, count(*) AS n, min(ts) AS started FROM s GROUP BY ALL""")
 def x04_sessions(events: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     opens = F.when(F.col("ts") - F.lag("ts").over(w) <= F.expr("INTERVAL 30 MINUTES"), 0).otherwise(1)
     return events.withColumn("opens", opens).withColumn("session_no", F.sum("opens").over(w)).groupBy("user_id", "session_no").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("started"))

@@ -4,19 +4,19 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
+import re
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievemill.functions.text import collapse
 from sievemill.plans.registry import QUERIES, SQL, query
-from sievemill.session import cut, table
-from sievemill.sources import feeds, files, replay
+from sievemill.session import cut, map_batches, table
+from sievemill.sources import aggregators, feeds, files, paging, replay, sinks
 
 _PLAIN = r"trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))"
 _NUMBER = {kind: f"n{i:02d}_{kind}" for i, kind in enumerate(feeds.FEEDS, 1)}
@@ -88,25 +88,16 @@ def s37_envelopes(jobs: DataFrame) -> DataFrame:
     return jobs.select("id").distinct().select("id", F.size(feeds.unwrap(payload)).alias("n"))
 
 
-@query("jobs", sql="SELECT source, count(*) AS n FROM (SELECT DISTINCT id, source FROM jobs WHERE title IS NOT NULL AND source IN ('greenhouse', 'lever', 'ashby')) GROUP BY source")
-def n27_normalise_all(jobs: DataFrame) -> DataFrame:
-    """Payloads of several platforms in one table, each by its own projection."""
-    rows = jobs.where("title is not null and trim(title) <> ''")
-    parts = [_payloads(rows.where(F.col("source") == k), k).withColumn("kind", F.lit(k)) for k in ("greenhouse", "lever", "ashby")]
-    return feeds.normalise_all(parts[0].unionByName(parts[1]).unionByName(parts[2])).select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
 _LISTED = ", ".join(f"'{k}'" for k in feeds.FEEDS)
 _TITLED = f"SELECT DISTINCT id, source, coalesce(source IN ({_LISTED}), false) AS known FROM jobs WHERE id IS NOT NULL AND {_PLAIN} <> ''"
 
 
 @query("jobs", sql=f"SELECT source, count_if(known) AS normalised, count_if(NOT known) AS without_feed FROM ({_TITLED}) GROUP BY source")
-def n27_normalise_whole(jobs: DataFrame) -> DataFrame:
+def n27_normalise_all(jobs: DataFrame) -> DataFrame:
     """Payloads of every platform in one table, each by its own projection; the postings of sources without a
     feed are counted as such."""
     rows, lacking = _of_their_feeds(jobs)
-    # Each platform's projection reads the payloads, so they are made once.
-    payloads = cut(rows.select("kind", F.lit("acme/site").alias("token"), "company", "checked", _envelope(F.col("item")).alias("payload")))
+    payloads = rows.select("kind", F.lit("acme/site").alias("token"), "company", "checked", _envelope(F.col("item")).alias("payload"))
     done = feeds.normalise_all(payloads).select("id", "source").distinct().groupBy("source").agg(F.count(F.lit(1)).alias("normalised"))
     return done.withColumn("without_feed", F.lit(0).cast("bigint")).unionByName(lacking.withColumn("normalised", F.lit(0).cast("bigint")))
 
@@ -114,23 +105,29 @@ def n27_normalise_whole(jobs: DataFrame) -> DataFrame:
 @query("boards", sql="SELECT DISTINCT company, type, token FROM boards WHERE company IS NOT NULL")
 def n28_json_without_nulls(boards: DataFrame) -> DataFrame:
     """Rows to JSON without null fields and back."""
-    text = F.to_json(F.struct("company", "type", "token", F.lit(None).cast("string").alias("none")))
-    back = F.from_json(text, "company string, type string, token string")
-    return boards.where("company is not null").select(text.alias("j"), back.alias("b")).where("j not like '%none%'").select("b.*").distinct()
+    rows = boards.where("company is not null").select("company", "type", "token", F.lit(None).cast("string").alias("nothing"))
+    back = F.from_json("json", "company string, type string, token string")
+    return sinks.without_nulls(rows).where("json not like '%nothing%'").select(back.alias("b")).select("b.*").distinct()
 
 
-def _folder(spark: SparkSession) -> str:
-    """A folder for the small recorded files of these queries, beside the checkpoints where the cluster
-    names a shared folder."""
+def _folder(spark: SparkSession, mounted: bool = False) -> str:
+    """A new folder beside the checkpoints, which all executors share. Files that are written without Spark
+    need it to be a mounted path, and anything else is refused rather than put on one machine."""
     from sievemill.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
-    return tempfile.mkdtemp(prefix="recorded-", dir=root if os.path.isdir(root) else None)
+    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/recorded-{uuid.uuid4().hex}"
+    if not mounted:
+        return folder
+    path = re.sub(r"^file:/*(?=/)", "", folder)
+    if "://" in path or not os.path.isabs(path):
+        raise RuntimeError(f"{folder} is no mounted path")
+    os.makedirs(path)
+    return path
 
 
 def _recorded(text: str, name: str, spark: SparkSession) -> str:
-    path = os.path.join(_folder(spark), name)
+    path = os.path.join(_folder(spark, mounted=True), name)
     with open(path, "w", encoding="utf-8", newline="") as f:
         f.write(text)
     return path
@@ -190,12 +187,13 @@ def s01_replay(spark: SparkSession, d: str) -> DataFrame:
 
     Two boards a platform are recorded, one of them broken: it becomes a status row and the other is read.
     """
-    root = _folder(spark)
+    root = _folder(spark, mounted=True)
     for kind in feeds.FEEDS:
         os.makedirs(os.path.join(root, kind))
         with open(os.path.join(root, kind, "bad.json"), "w") as f:
             f.write("{")
-    sample = table(spark, d, "jobs").where("title is not null and trim(title) <> ''").orderBy("id").limit(1)
+    at = F.lit("2025-11-01 00:00:00").cast("timestamp")
+    sample = spark.range(1).select(F.lit("a1").alias("id"), F.lit("Data Engineer").alias("title"), F.lit("Oslo").alias("location"), at.alias("firstseen"), at.alias("checked"), F.lit("Acme").alias("company"))
     made = None
     for kind in feeds.FEEDS:
         part = _payloads(sample, kind).withColumn("kind", F.lit(kind))
@@ -205,7 +203,6 @@ def s01_replay(spark: SparkSession, d: str) -> DataFrame:
             json.dump({"company": r["company"], "payload": json.loads(r["payload"])}, f)
     replay.register(spark)
     read = spark.read.format("boards_replay").option("path", root).load()
-    at = F.lit("2025-11-09 00:00:00").cast("timestamp")
     good = feeds.normalise_all(read.where("ok").withColumn("checked", at)).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
     status = read.groupBy("kind").agg(F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"))
     return status.join(good, F.col("kind") == F.col("source"), "left").select("kind", "ok", "failed", F.coalesce("n", F.lit(0)).alias("n"))
@@ -245,7 +242,7 @@ def _record(rows: DataFrame, root: str) -> None:
 def s01_replay_whole(spark: SparkSession, d: str) -> DataFrame:
     """All postings, recorded under their platforms in pages, through the data source and the normalisers; one
     broken board a platform. Postings of sources without a feed are counted as such."""
-    root = _folder(spark)
+    root = _folder(spark, mounted=True)
     for kind in feeds.FEEDS:
         os.makedirs(os.path.join(root, kind))
         with open(os.path.join(root, kind, "bad.json"), "w") as f:
@@ -268,5 +265,70 @@ SELECT kind, 1 AS failed, count(id) AS n, 0 AS without_feed FROM feeds LEFT JOIN
 UNION ALL SELECT source, 0, 0, count(*) FROM t WHERE NOT known GROUP BY source"""
 
 
-for _f in (s01_replay, s01_replay_whole, s25_rss, s27_thread, s31_index_lines, s32_csv, s33_directory, s34_json_lists, s35_read_or_empty, s36_sharded_map):
+_BOARDS = ("smartrecruiters", "workday", "recruitee")
+
+
+def _record_pages(spark: SparkSession, jobs: DataFrame, root: str) -> DataFrame:
+    """The postings of paged platforms as recorded pages of their boards, written by the executors; the boards."""
+    rows = jobs.where(F.col("source").isin(*_BOARDS) & F.col("id").isNotNull() & F.col("boardkey").isNotNull() & F.col("title").isNotNull()).select("source", "boardkey", "id", "title").distinct()
+    views = F.when(F.col("source") == "workday", F.array_compact(F.array(*[F.when(F.contains(F.lower("title"), F.lit(w)), F.lit(w)) for w in ("data", ".net")]))).otherwise(F.array(F.lit("")))
+    sized = rows.withColumn("view", F.explode(views)).withColumn("n", F.row_number().over(Window.partitionBy("source", "boardkey", "view").orderBy("id")) - 1)
+    size = F.when(F.col("source") == "workday", 20).otherwise(100)
+    paged = sized.withColumn("at", (F.floor(F.col("n") / size) * size).cast("int"))
+    totals = sized.groupBy("source", "boardkey", "view").agg(F.count(F.lit(1)).alias("total"))
+    pages = paged.groupBy("source", "boardkey", "view", "at").agg(F.to_json(F.collect_list(F.struct("id", "title", F.col("id").alias("externalPath")))).alias("rows")).join(totals, ["source", "boardkey", "view"])
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples():
+                path = paging.page_path(root, r.source, r.boardkey, r.view, str(r.at))
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                held = f"{path}.{uuid.uuid4().hex}"
+                with open(held, "w", encoding="utf-8") as f:
+                    f.write(f'{{"totalFound": {r.total}, "total": {r.total}, "content": {r.rows}, "jobPostings": {r.rows}}}')
+                os.replace(held, path)
+            yield pd.DataFrame({"pages": [len(pdf)]})
+
+    map_batches(pages, write, "pages bigint").agg(F.sum("pages")).collect()
+    return rows.select(F.col("source").alias("kind"), F.col("boardkey").alias("token"), F.lit("Acme").alias("company")).distinct()
+
+
+def s04_paged(spark: SparkSession, d: str) -> DataFrame:
+    """Boards read page by page: up to a platform's last page, two searches of another with repeats dropped
+    (S04, S14), and a platform without a rule as a failure."""
+    root = _folder(spark, mounted=True)
+    boards = _record_pages(spark, table(spark, d, "jobs"), root)
+    read = paging.read_boards(boards, lambda kind, token: paging.recorded(root, kind, token))
+    return read.select("kind", "token", "ok", F.coalesce(F.size(F.from_json("payload", "array<string>")), F.lit(0)).alias("n"))
+
+
+SQL["s04_paged"] = """
+WITH j AS (SELECT DISTINCT source, boardkey, id, title FROM jobs WHERE source IN ('smartrecruiters', 'workday', 'recruitee') AND id IS NOT NULL AND boardkey IS NOT NULL AND title IS NOT NULL),
+v AS (SELECT *, '' AS v FROM j WHERE source = 'smartrecruiters' UNION ALL SELECT *, 'data' FROM j WHERE source = 'workday' AND contains(lower(title), 'data') UNION ALL SELECT *, '.net' FROM j WHERE source = 'workday' AND contains(lower(title), '.net')),
+n AS (SELECT *, row_number() OVER (PARTITION BY boardkey, v ORDER BY id) AS nth FROM v),
+t AS (SELECT boardkey, id FROM n WHERE nth <= CASE v WHEN 'data' THEN 100 WHEN '.net' THEN 40 ELSE 300 END)
+SELECT source AS kind, b.boardkey AS token, source <> 'recruitee' AS ok, count(DISTINCT t.id) AS n FROM (SELECT DISTINCT source, boardkey FROM j) b LEFT JOIN t ON t.boardkey = b.boardkey GROUP BY ALL"""
+
+
+@query("jobs", sql="""
+SELECT DISTINCT trim(title) AS title, coalesce(company, '') AS company, CASE WHEN trim(coalesce(location, '')) = '' THEN 'Remote' ELSE location END AS location,
+  CASE WHEN coalesce(salarymin, 0) <> 0 THEN concat('$', salarymin, '-$', coalesce(CAST(salarymax AS VARCHAR), '')) ELSE '' END AS salary, date_trunc('second', firstseen) AS published FROM jobs WHERE trim(title) <> ''""")
+def s28_remote_list(jobs: DataFrame) -> DataFrame:
+    """Each posting in a list of its own behind the row that describes it, as the remote list has it (N26)."""
+    item = F.struct(F.trim("title").alias("position"), "company", "location", F.col("salarymin").alias("salary_min"), F.col("salarymax").alias("salary_max"), F.date_format("firstseen", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"), F.lit("<p>x</p>").alias("description"))
+    payloads = jobs.where("trim(title) <> ''").select(F.concat(F.lit('[{"legal":"terms"},'), F.to_json(item), F.lit("]")).alias("payload"))
+    return aggregators.aggregator_rows(payloads, "remoteok", F.lit(None).cast("timestamp")).select("title", "company", "location", "salary", "published").distinct()
+
+
+@query("jobs", sql="""
+SELECT DISTINCT coalesce(nullif(trim(role), ''), trim(title)) AS title, coalesce(company, '') AS company, CASE WHEN trim(coalesce(location, '')) = '' THEN '' ELSE location END AS location, coalesce(CASE WHEN trim(salary) <> '' THEN salary END, '') AS salary, coalesce(applyurl, '') AS url FROM jobs
+WHERE coalesce(nullif(trim(role), ''), trim(title), '') <> ''""")
+def s29_gathered_lists(jobs: DataFrame) -> DataFrame:
+    """Lists bare and under 'jobs', the role before the title and the address to apply before the other (N26)."""
+    item = F.struct(F.trim("role").alias("role"), F.trim("title").alias("title"), "company", "location", "salary", F.when(F.length("id") % 2 == 0, F.col("applyurl")).alias("applyUrl"), F.when(F.length("id") % 2 != 0, F.col("applyurl")).alias("url"))
+    payload = F.when(F.length("title") % 2 == 0, F.concat(F.lit("["), F.to_json(item), F.lit("]"))).otherwise(F.concat(F.lit('{"jobs":['), F.to_json(item), F.lit("]}")))
+    return aggregators.aggregator_rows(jobs.select(payload.alias("payload")).where("payload is not null"), "landedjobs", F.lit(None).cast("timestamp")).select("title", "company", "location", "salary", "url").distinct()
+
+
+for _f in (s04_paged, s01_replay, s01_replay_whole, s25_rss, s27_thread, s31_index_lines, s32_csv, s33_directory, s34_json_lists, s35_read_or_empty, s36_sharded_map):
     QUERIES[_f.__name__] = _f

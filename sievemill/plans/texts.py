@@ -81,18 +81,21 @@ def f09_normal_location(jobs: DataFrame) -> DataFrame:
     return jobs.select("location").where("location is not null").distinct().select("location", text.normal_location(F.col("location")).alias("normal"))
 
 
-@query("jobs", sql=r"""
-SELECT DISTINCT published, CASE WHEN regexp_matches(published, '^\d{1,18}$') THEN
-    CASE WHEN try_cast(published AS BIGINT) < 100000000000 THEN try_cast(published AS BIGINT) * 1000000 ELSE try_cast(published AS BIGINT) * 1000 END END AS epoch_us
-FROM jobs WHERE regexp_matches(published, '^\d{1,14}$')""")
+@query("jobs")
 def f10_iso_instant(jobs: DataFrame) -> DataFrame:
-    return jobs.select("published").where(F.col("published").rlike(r"^\d{1,14}$")).distinct().select("published", F.unix_micros(dates.iso_instant(F.col("published"))).alias("epoch_us"))
+    """Every published value: ISO text and counts; what is neither gives null. Tested against Python."""
+    return jobs.select("published").distinct().select("published", F.unix_micros(dates.iso_instant(F.col("published"))).alias("epoch_us"))
 
 
-@query("jobs")
-def f10_iso_instant_whole(jobs: DataFrame) -> DataFrame:
-    """Every published value: ISO text and counts; what is neither gives null."""
-    return jobs.select("published").distinct().select("published", F.unix_micros(dates.iso_instant(F.col("published"))).alias("epoch_us"))
+@query("jobs", sql=r"""
+SELECT day, count(*) AS n FROM (SELECT DISTINCT id, CASE WHEN regexp_matches(trim(published), '^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}([.][0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2}))?$') THEN CAST(try_cast(trim(published) AS TIMESTAMPTZ) AS DATE)
+  WHEN regexp_matches(published, '^[0-9]{1,11}$') THEN CAST(to_timestamp(try_cast(published AS BIGINT)) AS DATE) WHEN regexp_matches(published, '^[0-9]{12,14}$') THEN CAST(epoch_ms(try_cast(published AS BIGINT)) AS DATE) END AS day FROM jobs) GROUP BY day""")
+def f10_days(jobs: DataFrame) -> DataFrame:
+    """Postings by the day of a full ISO instant, an ISO date or a count; all others under null."""
+    s = F.trim("published")
+    full = s.rlike(r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2}))?$") | F.col("published").rlike(r"^\d{1,14}$")
+    rows = jobs.select("id", F.to_date(F.when(full, dates.iso_instant(F.col("published")))).alias("day")).distinct()
+    return rows.groupBy("day").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("jobs", sql=r"""
@@ -121,6 +124,13 @@ def f13_freshness(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", "firstseen", "checked").distinct().select("id", dates.freshness(F.col("firstseen"), F.col("checked")).alias("f")).select("id", "f.*")
 
 
+@query("jobs", sql="""
+WITH a AS (SELECT DISTINCT id, (epoch_us(checked) - epoch_us(firstseen)) / 1e6 AS age FROM jobs)
+SELECT id, floor(age / 86400 * 10 + 0.5) AS tenths FROM a""")
+def f13_half_up(jobs: DataFrame) -> DataFrame:
+    return jobs.select("id", "firstseen", "checked").distinct().select("id", dates.freshness(F.col("firstseen"), F.col("checked"), half_up=True)["tenths"].alias("tenths"))
+
+
 _LANES = [(r"\bdata (engineer|scientist|analyst)\b", "data"), (r"machine learning|\bml\b", "learning"), (r"\b(developer|engineer)\b", "engineering"), (r"\bmanager\b", "management")]
 _LANE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(coalesce(title, ''), '(?i){p}') THEN '{label}'" for p, label in _LANES) + " ELSE 'other' END"
 
@@ -131,8 +141,10 @@ def f14_rule_cascade(jobs: DataFrame) -> DataFrame:
     return jobs.select(text.cascade(_LANES, F.coalesce("title", F.lit("")), "other").alias("lane")).groupBy("lane").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SPAN = r"(?i)(?:USD|\$)\s?([\d,]+(?:\.\d+)?)\s?(k)?\s*(?:-|–|—|to)\s*(?:USD|\$)?\s?([\d,]+(?:\.\d+)?)\s?(k)?"
-_ONE = r"(?i)(?:USD|\$)\s?([\d,]+(?:\.\d+)?)\s?(k)?\b"
+# DuckDB's own notation of a dollar amount: a sign, digits with marks of thousands, 'k' for thousands.
+_MONEY = r"(?:[$]|USD)\s?([0-9][0-9,]*(?:[.][0-9]+)?)\s?(k?)"
+_SPAN = r"(?i)" + _MONEY + r"\s*(?:-|to|–|—)\s*" + _MONEY.replace("(?:[$]|USD)", "(?:[$]|USD|)")
+_ONE = r"(?i)" + _MONEY + r"\b"
 
 
 def _amount(pattern: str, at: int) -> str:
@@ -167,6 +179,16 @@ def f21_most_years(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", text.most_years(asked).alias("years"))
 
 
+@query("documents", sql=r"""
+WITH m AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '([0-9]+) (people|weeks|months|hours)', '\1 years', 'g') AS t FROM documents),
+p AS (SELECT doc_id, regexp_extract(t, '([0-9]+)\s*[-–to]+\s*([0-9]+)\s*year', 1) AS a, regexp_extract(t, '([0-9]+)\s*[-–to]+\s*([0-9]+)\s*year', 2) AS b,
+  coalesce(nullif(regexp_extract(t, '([0-9]+)[+]\s*year', 1), ''), nullif(regexp_extract(t, 'minimum\s*([0-9]+)\s*year', 1), ''), nullif(regexp_extract(t, '([0-9]+)\s*years?\s*of\s*experience', 1), '')) AS one FROM m)
+SELECT doc_id, CASE WHEN a <> '' THEN try_cast(a AS INT) ELSE try_cast(one AS INT) END AS min_years, CASE WHEN a <> '' THEN try_cast(b AS INT) ELSE try_cast(one AS INT) + 2 END AS max_years FROM p""")
+def f28_experience_range(documents: DataFrame) -> DataFrame:
+    asked = F.regexp_replace(F.lower("text"), r"(\d+) (people|weeks|months|hours)", "$1 years")
+    return documents.select("doc_id", text.experience_range(asked).alias("r")).select("doc_id", "r.*")
+
+
 _WORDS = ["engineer", "data", "senior", "platform", "billing"]
 _HITS = " + ".join(f"CAST(contains(lower(coalesce(title, '')), '{w}') AS INT)" for w in _WORDS)
 
@@ -197,10 +219,10 @@ _HOSTED = ", ".join(f"'{k}'" for k in urls.HOSTED)
 
 
 @query("boards", sql=f"""
-SELECT DISTINCT {_URL_SQL} AS url, CASE WHEN {_VALID} THEN type END AS kind, CASE WHEN {_VALID} THEN lower(token) END AS found FROM boards WHERE type IN ({_HOSTED}) AND NOT contains(token, '/')""")
+SELECT DISTINCT {_URL_SQL} AS url, CASE WHEN {_VALID} THEN type END AS kind, CASE WHEN {_VALID} THEN lower(token) END AS found FROM boards WHERE type IN ({_HOSTED})""")
 def f31_board_of_url(boards: DataFrame) -> DataFrame:
     """The address of a board read back gives its platform and lower-case token."""
-    made = boards.where(F.col("type").isin(*urls.HOSTED) & ~F.contains("token", F.lit("/"))).select(urls.board_url(F.col("type"), F.col("token")).alias("url")).distinct()
+    made = boards.where(F.col("type").isin(*urls.HOSTED)).select(urls.board_url(F.col("type"), F.col("token")).alias("url")).distinct()
     return made.select("url", urls.board_of_url(F.col("url")).alias("b")).select("url", F.col("b.kind").alias("kind"), F.col("b.token").alias("found"))
 
 
@@ -225,11 +247,12 @@ def _page(body: Column) -> Column:
 
 @query("jobs", sql=r"""
 SELECT DISTINCT id, trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g')) AS title, 'Austin, TX' AS location FROM jobs
-WHERE length(trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))) BETWEEN 3 AND 140 AND NOT contains(title, '<') AND NOT contains(title, '&') AND NOT regexp_matches(trim(title), '(?i)^(apply|view|learn more|back|home|skip)')""")
+WHERE length(trim(regexp_replace(title, '[\s\x{00A0}]+', ' ', 'g'))) BETWEEN 3 AND 140 AND NOT regexp_matches(trim(title), '(?i)^(apply|view|learn more|back|home|skip)')""")
 def f35_page_links(jobs: DataFrame) -> DataFrame:
     """Links of pages with the location near them (F34, F35)."""
-    plain = jobs.select("id", "title").distinct().where("title is not null and not contains(title, '<') and not contains(title, '&')")
-    links = plain.select("id", F.explode(html.page_links(_page(F.col("title")))).alias("l"))
+    plain = jobs.select("id", "title").distinct().where("title is not null")
+    escaped = F.replace(F.replace(F.replace(F.col("title"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    links = plain.select("id", F.explode(html.page_links(_page(escaped))).alias("l"))
     return links.select("id", F.col("l.title").alias("title"), F.col("l.location").alias("location"))
 
 
@@ -255,10 +278,11 @@ def f38_question_answer(jobs: DataFrame) -> DataFrame:
     return jobs.select("id", "role", "title", "source").distinct().select("id", html.answer(pairs, "role", "title").alias("answer")).distinct()
 
 
-@query("places", sql="SELECT place_id, city AS title, concat('Oslo, ', left(region_code, 2)) AS place FROM places WHERE length(region_code) = 2")
+@query("places", sql="""
+SELECT place_id, CASE WHEN f THEN city ELSE concat(city, ' in Oslo, ', region_code) END AS title, CASE WHEN f THEN concat('Oslo, ', region_code) END AS place FROM (SELECT *, regexp_full_match(region_code, '[A-Z]{2}') AS f FROM places)""")
 def f39_label_title(places: DataFrame) -> DataFrame:
     label = F.concat("city", F.lit(" in Oslo, "), "region_code")
-    return places.where("length(region_code) = 2").select("place_id", html.label_title(label).alias("l")).select("place_id", "l.*")
+    return places.select("place_id", html.label_title(label).alias("l")).select("place_id", "l.*")
 
 
 @query("boards", sql="""
@@ -286,6 +310,54 @@ def f44_sweep_label(sweep_jobs: DataFrame) -> DataFrame:
     return sweep_jobs.select("sweep_no", "sweep_at").distinct().select("sweep_no", dates.sweep_label(F.col("sweep_at")).alias("l")).select("sweep_no", "l.*")
 
 
+@query("sweep_jobs", sql="SELECT DISTINCT sweep_no, CAST(hour(sweep_at) * 2 + CASE WHEN minute(sweep_at) >= 30 THEN 2 ELSE 1 END AS INT) AS of_day FROM sweep_jobs")
+def f44_sweep_number(sweep_jobs: DataFrame) -> DataFrame:
+    return sweep_jobs.select("sweep_no", dates.sweep_number(F.col("sweep_at")).alias("of_day")).distinct()
+
+
+_PARTS = "string_split(token, '/')"
+
+
+@query("boards", sql=f"""
+WITH k AS (SELECT DISTINCT unnest(['hireology','adp','dover','ukg','successfactors','brassring','phenom','paylocity','zoho','careerplug']) AS type), t AS (SELECT DISTINCT token FROM boards WHERE token IS NOT NULL)
+SELECT type, token, CASE type
+  WHEN 'hireology' THEN 'https://careers.hireology.com/' || {_ENC} WHEN 'dover' THEN 'https://app.dover.com/careers/' || {_ENC}
+  WHEN 'adp' THEN 'https://workforcenow.adp.com/mascsr/default/mdf/recruitment/recruitment.html?cid=' || {_ENC.replace('token', "split_part(token, '/', 1)")} || '&ccId=' || {_ENC.replace('token', "split_part(token, '/', 2)")} || '&lang=en_US'
+  WHEN 'ukg' THEN CASE WHEN len({_PARTS}) > 1 THEN 'https://' || split_part(token, '/', 1) || '/' || split_part(token, '/', 2) || '/JobBoard/' || {_ENC.replace('token', "split_part(token, '/', 3)")} || '/' END
+  WHEN 'successfactors' THEN rtrim(token, '/') || '/search/'
+  WHEN 'brassring' THEN 'https://sjobs.brassring.com/TGnewUI/Search/Home/Home?partnerid=' || {_ENC.replace('token', "split_part(token, '/', 1)")} || '&siteid=' || {_ENC.replace('token', "split_part(token, '/', 2)")}
+  WHEN 'phenom' THEN 'https://' || rtrim(token, '/') || CASE WHEN contains(rtrim(token, '/'), '/') THEN '' ELSE '/search-results' END
+  WHEN 'paylocity' THEN 'https://recruiting.paylocity.com/recruiting/jobs/All/' || {_ENC}
+  WHEN 'zoho' THEN 'https://' || split_part(token, '/', 1) || '.zohorecruit.' || CASE WHEN len({_PARTS}) > 1 THEN split_part(token, '/', 2) ELSE 'com' END || '/jobs/Careers'
+  WHEN 'careerplug' THEN 'https://' || {_ENC} || '.careerplug.com/jobs' END AS url FROM k, t""")
+def f30_extra_board_url(boards: DataFrame) -> DataFrame:
+    """Every token as the board of each of the platforms with addresses of their own form."""
+    kinds = F.array(*[F.lit(k) for k in ("hireology", "adp", "dover", "ukg", "successfactors", "brassring", "phenom", "paylocity", "zoho", "careerplug")])
+    each = boards.select("token").where("token is not null").distinct().select("token", F.explode(kinds).alias("type"))
+    return each.select("type", "token", urls.extra_board_url(F.col("type"), F.col("token")).alias("url"))
+
+
+@query("boards", sql=f"""
+SELECT DISTINCT type, lower(token) AS token, CASE WHEN type IN ('careerpage', 'successfactors') THEN regexp_matches(lower(token), '^https://[a-z0-9][a-z0-9.-]*[.][a-z]{{2,}}(/[^ ]*)?$')
+  ELSE regexp_matches(lower(token), CASE WHEN type IN ('workday', 'oracle', 'icims') THEN '^[a-z0-9][a-z0-9._/-]{{1,180}}$' ELSE '^[a-z0-9][a-z0-9._-]{{1,90}}$' END) AND lower(token) NOT IN ({_RESERVED}) END
+  AND NOT regexp_matches(lower(token), '/(robots[.]txt|sitemap[.]xml|sitemap_index[.]xml|favicon[.]ico|manifest[.]json)$') AS usable FROM boards WHERE token IS NOT NULL""")
+def p07_usable_token(boards: DataFrame) -> DataFrame:
+    t = F.lower("token")
+    return boards.where("token is not null").select("type", t.alias("token"), urls.usable_token(F.col("type"), t).alias("usable")).distinct()
+
+
+# Names of staffing firms.
+_STAFFING = ["jobgether", "alten", "guidehouse", "booz allen", "bah", "randstad", "teksystems", "robert half", "kforce", "apex systems", "insight global", "modis", "experis", "aston carter", "synergisticit"]
+_STAFFING_SQL = "(?i)\\b(jobgether|alten|guidehouse|booz allen|bah|randstad|teksystems|robert half|kforce|apex systems|insight global|modis|experis|aston carter|synergisticit)\\b"
+
+
+@query("jobs", sql=f"SELECT DISTINCT id FROM (SELECT id, company FROM jobs UNION ALL SELECT 'x' || id, company || ' (via Robert Half)' FROM jobs) WHERE NOT regexp_matches(coalesce(company, ''), '{_STAFFING_SQL}')")
+def p06_staffing(jobs: DataFrame) -> DataFrame:
+    """Postings of employers that are no staffing firm; a second copy of each is named as one of them."""
+    both = jobs.select("id", "company").unionByName(jobs.select(F.concat(F.lit("x"), "id").alias("id"), F.concat("company", F.lit(" (via Robert Half)")).alias("company")))
+    return both.where(~text.names_one_of(F.col("company"), _STAFFING)).select("id").distinct()
+
+
 @query("jobs", sql="SELECT DISTINCT id FROM jobs WHERE coalesce(remotetype <> 'non-us', true) AND NOT coalesce(flags.nonustext, false)")
 def p01_kept(jobs: DataFrame) -> DataFrame:
     """A filter whose null flags keep the row."""

@@ -7,6 +7,7 @@ import functools
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sievemill.functions.urls import kind_of_csv, last_segment
 
@@ -37,11 +38,14 @@ def union_lists(spark: SparkSession, paths: list[str], schema: str) -> DataFrame
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON file of one list or object, or no rows where it is missing; broken parts give nulls."""
+    """A JSON file of one list or object, or no rows where it is missing, empty or broken."""
     try:
-        return spark.read.schema(schema).json(path, multiLine=True, mode="PERMISSIVE")
+        text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("t"))
     except AnalysisException:
         return spark.createDataFrame([], schema)
+    kind = T.StructType.fromDDL(schema)
+    rows = F.when(F.col("t").startswith("["), F.from_json("t", T.ArrayType(kind))).otherwise(F.array(F.from_json("t", kind)))
+    return text.where(F.try_parse_json("t").isNotNull() & F.col("t").rlike(r"^[\[{]")).select(F.explode(rows).alias("r")).where("r is not null").select("r.*")
 
 
 def sharded_map(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -58,6 +62,16 @@ def sharded_map(spark: SparkSession, paths: list[str]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, parts).groupBy("id").agg(F.max_by("value", "shard").alias("value"), F.max("shard").alias("shard"))
 
 
+def gapless(paths: list[str], exists) -> list[str]:
+    """The shards up to the first one that is not there."""
+    out: list[str] = []
+    for path in paths:
+        if not exists(path):
+            break
+        out.append(path)
+    return out
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON lines of an archive's index; broken lines are skipped."""
     return spark.read.schema(schema).json(path, mode="DROPMALFORMED")

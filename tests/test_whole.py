@@ -23,7 +23,7 @@ def test_range_join_takes_all_orders(spark, tmp_path):
     moved = [(i, at - events[0][1] + min(o for _, o in orders)) for i, at in events]
     want = sorted((i, k) for i, at in moved for k, day in orders if day <= at < day + timedelta(days=1))
     assert len(want) > 12
-    assert sorted(tuple(r) for r in QUERIES["x02_range_join_whole"](spark, str(tmp_path)).collect()) == want
+    assert sorted(tuple(r) for r in QUERIES["x02_range_join"](spark, str(tmp_path)).collect()) == want
 
 
 def _postings(tmp_path):
@@ -36,7 +36,7 @@ def _postings(tmp_path):
 
 def test_normalise_takes_every_platform(spark, tmp_path):
     have = _postings(tmp_path)
-    got = {r["source"]: (r["normalised"], r["without_feed"]) for r in QUERIES["n27_normalise_whole"](spark, str(tmp_path)).collect()}
+    got = {r["source"]: (r["normalised"], r["without_feed"]) for r in QUERIES["n27_normalise_all"](spark, str(tmp_path)).collect()}
     assert got == {s: (0, n) if s in ("careerpage", None) else (n, 0) for s, n in have.items()}
 
 
@@ -69,7 +69,7 @@ def test_instants_of_all_published_values(spark, tmp_path):
     stored = {x for (x,) in spark.read.parquet(f"{SMALL}/jobs.parquet").select("published").distinct().collect()}
     values = stored | {"2025-10-25T15:38:37.744Z", "2025-03-19 13:46:54-0700", "2025-05-25T22:50:45+05:30", "2024-03-10 00:19", "2025-02-30", "123456789012345678", "1725455388", "n/a", None}
     pq.write_table(pa.table({"published": pa.array(sorted(values, key=str), pa.string())}), tmp_path / "jobs.parquet")
-    got = {r["published"]: r["epoch_us"] for r in QUERIES["f10_iso_instant_whole"](spark, str(tmp_path)).collect()}
+    got = {r["published"]: r["epoch_us"] for r in QUERIES["f10_iso_instant"](spark, str(tmp_path)).collect()}
     assert got.keys() == values
     want = {v: _instant(v) for v in values}
     assert {v: got[v] for v in values if want[v][1]} == {v: at for v, (at, told) in want.items() if told}
