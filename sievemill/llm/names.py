@@ -242,7 +242,7 @@ def _parsed(names: DataFrame) -> DataFrame:
             tokens = [tokens_of(c) for c in pdf["company"]]
             yield pd.DataFrame({"company": pdf["company"], "tokens": tokens})
 
-    return map_batches(names, parse, "company string, tokens array<string>").where(F.size("tokens") > 0)
+    return map_batches(names, parse, "company string, tokens array<string>")
 
 
 def _tails(parsed: DataFrame) -> frozenset[str]:
@@ -302,7 +302,7 @@ def _candidates(names: DataFrame) -> DataFrame:
     numbered = cut(names.withColumn("nid", F.monotonically_increasing_id()))
     bounds = [c for c in _BOUNDS if c in names.columns]
     long = F.filter("core", lambda t: F.length(t) >= SUFFIX)
-    lean = numbered.select("nid", "line", *bounds, F.concat(F.lit("="), F.array_join(F.array_sort("core"), " ")).alias("whole"), long.alias("long"))
+    lean = numbered.select("nid", "line", *bounds, F.when(F.size("core") > 0, F.concat(F.lit("="), F.array_join(F.array_sort("core"), " "))).alias("whole"), long.alias("long"))
     word = lean.select("nid", "line", *bounds, "whole", F.explode_outer(F.array_distinct("long")).alias("word"))
     plain = F.regexp_replace("word", r"(.)\1", "$1")  # a doubled letter is the commonest slip
     n, inner = F.length(plain), SUFFIX + 1
@@ -313,7 +313,7 @@ def _candidates(names: DataFrame) -> DataFrame:
     starts = F.when(n <= inner, F.array().cast("array<string>")).when(n <= 512, each).otherwise(F.regexp_extract_all(plain, F.lit(rf"(?=(.{{{inner}}}))"), 1))
     # Words too short for a suffix meet in the name as a whole.
     keys = F.when(F.col("word").isNull(), F.array("whole")).otherwise(F.array_union(F.array_union(ends, starts), F.array("whole")))
-    suffix = word.select("nid", "line", *bounds, F.explode_outer(keys).alias("suffix"))
+    suffix = word.select("nid", "line", *bounds, F.explode_outer(keys).alias("suffix")).where("suffix is not null")
     bare = F.col("line") == ""
     by_line = F.when(~bare, F.concat_ws("|", F.col("suffix"), F.lit("line"), F.col("line")))
     to_all = F.concat_ws("|", F.col("suffix"), F.lit("all"))
@@ -346,8 +346,9 @@ def _judged(pairs: DataFrame) -> DataFrame:
 def organisations(names: DataFrame, *, column: str = "company", lines: frozenset[str] = LINES) -> DataFrame:
     """(company, organisation): every distinct spelling with one that stands for its organisation.
 
-    ``lines`` are lines of business known beforehand, beside those that the names show. Names are parsed, blocked by the suffixes of their words and compared by the ratio of their longest
-    common subsequences. Names of different lines of business are different. A name that lacks the line,
+    ``lines`` are lines of business known beforehand, beside those that the names show. Names are parsed,
+    blocked by the suffixes of their words and compared by the ratio of their longest common subsequences.
+    Names of different lines of business are different. A name that lacks the line,
     or has a single letter for a word, is linked only where it fits one organisation. Null and blank names
     are left out; a name without letters or digits is linked to nothing.
     """
@@ -358,28 +359,24 @@ def organisations(names: DataFrame, *, column: str = "company", lines: frozenset
     weak = (F.col("line_a") != F.col("line_b")) | (F.col("kind") == "initial")
     strong = judged.where(~weak)
     groups = connected_components(strong, "company_a", "company_b")
-    labelled = cut(distinct.join(groups, F.col("company") == F.col("node"), "left").select("company", F.coalesce("component", "company").alias("part")))
-    # The weaker links join a name's part to another one only where that is the only choice.
-    loose = judged.where(weak)
-    loose = loose.unionByName(loose.select(F.col("company_b").alias("company_a"), F.col("company_a").alias("company_b"), F.col("line_b").alias("line_a"), F.col("line_a").alias("line_b"), "kind"))
     vague = F.exists("core", lambda t: F.length(t) == 1)
-    parts = labelled.join(known, "company").select("company", "part", F.when(vague, 1).otherwise(0).alias("vague"), F.when(F.col("line") == "", 1).otherwise(0).alias("bare"))
+    placed = known.join(groups, F.col("company") == F.col("node"), "left").select("company", F.coalesce("component", "company").alias("part"), vague.cast("int").alias("vague"), (F.col("line") == "").cast("int").alias("bare"))
     # How little a part says: parts of fewer facts lean on parts of more.
-    lack = parts.groupBy("part").agg((F.min("vague") + F.min("bare")).alias("lack"))
-    sides = loose.join(labelled.select(F.col("company").alias("company_a"), F.col("part").alias("from_part")), "company_a").join(labelled.select(F.col("company").alias("company_b"), F.col("part").alias("to_part")), "company_b")
-    leans = (
-        sides.select("from_part", "to_part").where("from_part <> to_part").distinct()
-        .join(lack.select(F.col("part").alias("from_part"), F.col("lack").alias("from_lack")), "from_part")
-        .join(lack.select(F.col("part").alias("to_part"), F.col("lack").alias("to_lack")), "to_part")
-        .where("to_lack < from_lack")
-    )
+    lack = placed.groupBy("part").agg((F.min("vague") + F.min("bare")).alias("lack"))
+    labelled = cut(placed.select("company", "part").join(lack, "part"))
+    # The weaker links join a name's part to another one only where that is the only choice.
+    loose = judged.where(weak)
+    ways = F.explode_outer(F.array(F.struct(F.col("company_a").alias("x"), F.col("company_b").alias("y")), F.struct(F.col("company_b").alias("x"), F.col("company_a").alias("y"))))
+    side = lambda company, end: labelled.select(F.col("company").alias(company), F.col("part").alias(f"{end}_part"), F.col("lack").alias(f"{end}_lack"))
+    sides = loose.select(ways.alias("w")).select("w.*").join(side("x", "from"), "x").join(side("y", "to"), "y")
+    leans = sides.where("from_part <> to_part and to_lack < from_lack").select("from_part", "to_part", "to_lack").distinct()
     # Where it leans on a part that lacks nothing, only those count; else those that lack less than it.
     n = F.when(F.min("to_lack") == 0, F.count_if(F.col("to_lack") == 0)).otherwise(F.count(F.lit(1)))
     only = cut(leans.groupBy("from_part").agg(F.min(F.struct("to_lack", "to_part"))["to_part"].alias("to_part"), n.alias("n")).where("n = 1").select("from_part", "to_part"))
     # A part lacks at most two facts, so links are at most two steps long.
     further = only.select(F.col("from_part").alias("to_part"), F.col("to_part").alias("end"))
     ends = only.join(further, "to_part", "left").select(F.col("from_part").alias("part"), F.coalesce("end", "to_part").alias("to_part"))
-    return labelled.join(ends, "part", "left").select("company", F.coalesce("to_part", "part").alias("organisation"))
+    return labelled.select("company", "part").join(ends, "part", "left").select("company", F.coalesce("to_part", "part").alias("organisation"))
 
 
 def spelling_classes(boards: DataFrame, jobs: DataFrame, *, lines: frozenset[str] = LINES) -> DataFrame:
