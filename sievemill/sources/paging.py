@@ -54,9 +54,9 @@ PAGING: dict[str, Paging] = {
     "adp": Paging(20, 2000, "jobRequisitions", total="meta.totalNumber", title="requisitionTitle", detail="itemID"),
     "dover": Paging(300, 3000, "results", more="next", drop=(("is_published", False), ("is_sample", True))),
     "ukg": Paging(50, 2000, "opportunities", total="totalCount", title="Title"),
-    "successfactors": Paging(10, 99, "jobSearchResult", step=1, blank=2, keys=("id",), title="unifiedStandardTitle"),
+    "successfactors": Paging(10, 99, "jobSearchResult", step=1, total="totalJobs", blank=2, keys=("id",), title="unifiedStandardTitle"),
     "brassring": Paging(50, 30, "Jobs.Job", first=1, step=1, total="JobsCount", keys=("reqid",), views=(("lastupdated desc", 30), ("title asc", 30))),
-    "phenom": Paging(10, 2000, "data.jobs", total="totalHits", keys=("jobId", "reqId")),
+    "phenom": Paging(10, 2000, "data.jobs", total="totalHits", short=10, keys=("jobId", "reqId")),
     "careerplug": Paging(60, 0, "", keys=("url",), detail="url"),
 }
 
@@ -110,7 +110,7 @@ def walk(rule: Paging, fetch: Fetch, title: str | None = None) -> Iterator[Any]:
                     yield row | more if isinstance(more, dict) else row
             got += len(rows)
             total = dig(page, rule.total) if rule.total else None
-            ended = total is not None and str(total).isdigit() and got >= int(total)
+            ended = total is not None and str(total).isdigit() and got >= int(total) > 0
             if ended or len(rows) < rule.short or (rule.fresh and not new and n) or (rule.more and not dig(page, rule.more)):
                 break
 
