@@ -7,14 +7,20 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sievemill.session import ship
+
 #: Seconds: the first estimate of an iteration, the least one, and how much longer the next may take.
 FIRST_ESTIMATE, LEAST_ESTIMATE, SLACK = 300.0, 180.0, 1.5
 
+#: Groups of ids whose state lies together.
+GROUPS = 256
+
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A folder of Parquet (or one local file) as a stream; wall-clock timestamps become UTC instants, as
@@ -38,31 +44,51 @@ def write_batches(stream: DataFrame, out: str, checkpoint: str, mode: str = "app
     run_available(stream, lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}"), checkpoint, mode)
 
 
-def first_seen(stream: DataFrame, *, hours: int, late: str = "0 seconds") -> DataFrame:
+def _packed(held: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, held.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(held)
+    return sink.getvalue().to_pybytes()
+
+
+def first_seen(stream: DataFrame, *, hours: int, late: str = "0 seconds", groups: int = GROUPS) -> DataFrame:
     """(id, firstseen, checked, stale): put-if-absent of ``firstseen`` by id, and rows whose board was not
     seen for ``hours`` (event time) leave as stale.
 
     State: the first instant seen and the last check of each id, dropped when the watermark passes it. Rows
-    later than ``late`` are dropped; a row within it may bring the first instant forward.
+    later than ``late`` are dropped; a row within it may bring the first instant forward. The ids whose hashes
+    fall in one of ``groups`` lie together as an Arrow table, so Python is called by group and not by id; a
+    batch writes the groups anew that it touches.
     """
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            first, last = state.get
+        parts = []
+        if state.exists:
+            old = pa.ipc.open_stream(state.get[0]).read_all()
+            parts.append(old.append_column("fresh", pa.repeat(False, len(old))))
+        if not state.hasTimedOut:
+            for pdf in batches:
+                at = pa.array(pdf["at"], pa.int64())
+                parts.append(pa.table({"id": pa.array(pdf["id"], pa.string()), "first": at, "last": at, "fresh": pa.repeat(True, len(at))}))
+        held = pa.concat_tables(parts).group_by("id", use_threads=False).aggregate([("first", "min"), ("last", "max"), ("fresh", "any")])
+        held = held.select(["id", "first_min", "last_max", "fresh_any"]).rename_columns(["id", "first", "last", "fresh"])
+        until = held["last"].to_numpy() // 1000 + hours * 3_600_000
+        stale = until < state.getCurrentWatermarkMs()
+        kept = held.filter(pa.array(~stale)).drop_columns(["fresh"])
+        if len(kept):
+            state.update((_packed(kept.combine_chunks()),))
+            state.setTimeoutTimestamp(int(until[~stale].min()))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"id": [key[0]], "firstseen": [pd.Timestamp(first, unit="us")], "checked": [pd.Timestamp(last, unit="us")], "stale": [True]})
-            return
-        first, last = state.get if state.exists else (None, None)
-        for pdf in batches:
-            at = pdf["checked"].astype("datetime64[us]").astype("int64")
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-            last = max(int(at.max()), last or 0)
-        state.update((first, last))
-        state.setTimeoutTimestamp(last // 1000 + hours * 3_600_000)
-        yield pd.DataFrame({"id": [key[0]], "firstseen": [pd.Timestamp(first, unit="us")], "checked": [pd.Timestamp(last, unit="us")], "stale": [False]})
+        for rows, leave in ((held.filter(held["fresh"]), False), (held.filter(pa.array(stale)), True)):
+            if len(rows):
+                yield rows.drop_columns(["fresh"]).to_pandas().assign(stale=leave)
 
+    ship(stream.sparkSession)
     timed = stream.where("id is not null and checked is not null").select("id", "checked").withWatermark("checked", late)
-    return timed.groupBy("id").applyInPandasWithState(update, "id string, firstseen timestamp, checked timestamp, stale boolean", "first long, last long", "append", GroupStateTimeout.EventTimeTimeout)
+    grouped = timed.withColumns({"at": F.unix_micros("checked"), "part": F.pmod(F.xxhash64("id"), F.lit(groups))}).groupBy("part")
+    rows = grouped.applyInPandasWithState(update, "id string, first long, last long, stale boolean", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.select("id", F.timestamp_micros("first").alias("firstseen"), F.timestamp_micros("last").alias("checked"), "stale")
 
 
 def windowed_counts(stream: DataFrame, at: str, by: str, late: str | None, window: str, slide: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 from sievemill.plans.registry import QUERIES
+from sievemill.streaming import sweeps
 from tests.conftest import SMALL
 
 
@@ -95,3 +96,32 @@ def test_streams_of_several_files_in_any_order(spark, tmp_path):
     assert {tuple(r) for r in QUERIES["t12_stream_windows"](spark, str(tmp_path)).collect()} == {w for w in want if w[0].day != 10}
     at = {(r["id"], r["firstseen"], r["checked"]) for r in QUERIES["t09_stream_first_seen"](spark, str(tmp_path)).collect()}
     assert at == {("a", day + timedelta(days=2), day + timedelta(days=9)), ("b", day + timedelta(days=5), day + timedelta(days=5))}
+
+
+def test_first_checks_that_no_watermark_orders(spark, tmp_path):
+    day, none = datetime(2025, 1, 1), None
+    rows = [("a", day), ("a", none), ("a", datetime(1970, 1, 1)), ("n", none), ("n", none), ("old", datetime(1969, 5, 5)), ("a", datetime(9999, 12, 31)), ("far", datetime(2300, 1, 1)), ("", day), (none, day)]
+    pq.write_table(pa.table({"id": pa.array([k for k, _ in rows], pa.string()), "checked": pa.array([at for _, at in rows], pa.timestamp("us"))}), tmp_path / "sweep_jobs.parquet")
+    got = {tuple(r) for r in QUERIES["t09_stream_first_seen"](spark, str(tmp_path)).collect()}
+    assert got == {("a", datetime(1970, 1, 1), datetime(9999, 12, 31)), ("n", none, none), ("old", datetime(1969, 5, 5), datetime(1969, 5, 5)), ("far", datetime(2300, 1, 1), datetime(2300, 1, 1)), ("", day, day)}
+
+
+def test_state_of_ids_lies_in_groups(spark, tmp_path):
+    """Python is called by group of ids, not by id, and an id leaves its group alone."""
+    base = datetime(2025, 1, 1)
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ids = [f"id-{i}" for i in range(3 * sweeps.GROUPS)]
+    sweep = {0: ids, 30: ids[::2], 60: ids[::4], 61: ["new"]}  # hours: ids
+    os.makedirs(tmp_path / "in")
+    for n, (hour, seen) in enumerate(sweep.items()):
+        path = tmp_path / "in" / f"part-{n}.parquet"
+        pq.write_table(pa.table({"id": seen, "checked": pa.array([base + timedelta(hours=hour)] * len(seen), pa.timestamp("us", "UTC"))}), path)
+        os.utime(path, (1_700_000_000 + 10 * n,) * 2)
+    rows = sweeps.first_seen(sweeps.stream_of(spark, str(tmp_path / "in")), hours=36)
+    query = rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < max(states) <= sweeps.GROUPS
+    got = Counter((r["id"], r["firstseen"], r["checked"], r["stale"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    live = Counter((i, base if hour < 61 else base + timedelta(hours=61), base + timedelta(hours=hour), False) for hour, seen in sweep.items() for i in seen)
+    assert got == live + Counter((i, base, base, True) for i in ids if i not in ids[::2])
