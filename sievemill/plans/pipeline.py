@@ -169,15 +169,17 @@ def t09_stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     """State by id with a time to live: the first check is frozen, ids not checked for 36 hours leave.
 
     The files of a table may come in any order, so the lateness is the span of the checks. Rows that no
-    watermark orders (no check, or one outside 1970 to 2262) come from the table, beside the stream."""
-    out = _folder(spark)
+    watermark orders (no check, or one outside 1970 to 2262) come from the table, beside the stream. Each
+    micro-batch reads the state it touches and writes it anew, so many files share a batch and the cost
+    does not grow as files times ids."""
+    out, path = _folder(spark), f"{d}/sweep_jobs.parquet"
     every = table(spark, d, "sweep_jobs").where("id is not null").select("id", "checked")
     first, end = (F.lit(at).cast("timestamp") for at in ("1970-01-01", "2262-01-01"))
     ordered = (F.col("checked") > first) & (F.col("checked") < end)
     beside = every.where(F.col("checked").isNull() | (F.col("checked") <= first) | (F.col("checked") >= end))
     ends = every.where(ordered).agg(F.min(F.unix_seconds("checked")).alias("a"), F.max(F.unix_seconds("checked")).alias("b")).first()
     late = f"{ends['b'] - ends['a'] + 1 if ends['a'] is not None else 0} seconds"
-    stream = sweeps.stream_of(spark, f"{d}/sweep_jobs.parquet").where(ordered)
+    stream = sweeps.stream_of(spark, path, sweeps.files_a_batch(spark, path)).where(ordered)
     sweeps.write_batches(sweeps.first_seen(stream, hours=snapshot_merge.KEEP_HOURS, late=late), f"{out}/rows", f"{out}/state")
     rows = spark.read.parquet(f"{out}/rows").select("id", "firstseen", "checked").unionByName(beside.select("id", F.col("checked").alias("firstseen"), "checked"))
     return rows.groupBy("id").agg(F.min("firstseen").alias("firstseen"), F.max("checked").alias("checked"))

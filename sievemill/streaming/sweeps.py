@@ -21,6 +21,9 @@ FIRST_ESTIMATE, LEAST_ESTIMATE, SLACK = 300.0, 180.0, 1.5
 #: Groups of ids whose state lies together.
 GROUPS = 256
 
+#: Micro-batches that what is there is dealt out to, where each of them writes a growing state anew.
+BATCHES = 16
+
 
 def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """A folder of Parquet (or one local file) as a stream; wall-clock timestamps become UTC instants, as
@@ -32,6 +35,11 @@ def stream_of(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataF
     return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema.fields if isinstance(f.dataType, T.TimestampNTZType)})
 
 
+def files_a_batch(spark: SparkSession, path: str, batches: int = BATCHES) -> int:
+    """How many files a micro-batch takes for all that is there to come in at most so many."""
+    return max(1, -(-len(spark.read.parquet(path).inputFiles()) // batches))
+
+
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """All that is there as micro-batches, then stop. The checkpoint is the cursor: a batch that did not
     finish is delivered again under its number, so ``each`` must overwrite by number."""

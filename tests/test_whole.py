@@ -10,6 +10,7 @@ from datetime import datetime, timedelta, timezone
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from sievemill.plans import pipeline
 from sievemill.plans.registry import QUERIES
 from sievemill.streaming import sweeps
 from tests.conftest import SMALL
@@ -125,3 +126,14 @@ def test_state_of_ids_lies_in_groups(spark, tmp_path):
     got = Counter((r["id"], r["firstseen"], r["checked"], r["stale"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
     live = Counter((i, base if hour < 61 else base + timedelta(hours=61), base + timedelta(hours=hour), False) for hour, seen in sweep.items() for i in seen)
     assert got == live + Counter((i, base, base, True) for i in ids if i not in ids[::2])
+
+
+def test_many_files_share_few_batches(spark, tmp_path, monkeypatch):
+    """Each batch writes the state it touches anew, so their number must not grow with the files."""
+    day, order = datetime(2024, 1, 1, 12), [k * 7 % 34 for k in range(34)]
+    _split(tmp_path, "sweep_jobs", [{"id": f"id-{k % 5}", "checked": day + timedelta(days=k)} for k in order])
+    monkeypatch.setattr(pipeline, "_folder", lambda spark: str(tmp_path / "out"))
+    got = Counter(tuple(r) for r in QUERIES["t09_stream_first_seen"](spark, str(tmp_path)).collect())
+    assert got == Counter((f"id-{i}", day + timedelta(days=i), day + timedelta(days=max(range(i, 34, 5)))) for i in range(5))
+    assert 2 <= len([x for x in os.listdir(tmp_path / "out" / "rows") if x.startswith("batch=")]) <= 16
+    assert [sweeps.files_a_batch(spark, str(tmp_path / "sweep_jobs.parquet"), n) for n in (1, 5, 33, 34, 99)] == [34, 7, 2, 1, 1]
